@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import op10_chat_format
 from .language_id import op8_language_id
 from .licenses import op3_license_scan
+from .minhash_dedup import ORACLE as MINHASH_ORACLE
+from .minhash_dedup import op4_minhash_dedup
 from .quality_rules import op6_quality_rules
+from .substring_dedup import ORACLE as SUBSTRING_ORACLE
+from .substring_dedup import op9_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_license_scan, op6_quality_rules, op8_language_id, op10_chat_format)
+    f.__name__: f for f in (op3_license_scan, op4_minhash_dedup, op6_quality_rules, op8_language_id, op9_substring_dedup, op10_chat_format)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_minhash_dedup": MINHASH_ORACLE, "op9_substring_dedup": SUBSTRING_ORACLE}

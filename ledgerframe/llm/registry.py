@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op10_chat_format
+from .embedding_dedup import ORACLE as EMBEDDING_ORACLE
+from .embedding_dedup import op1_embedding_dedup
 from .language_id import op8_language_id
 from .licenses import op3_license_scan
 from .minhash_dedup import ORACLE as MINHASH_ORACLE
 from .minhash_dedup import op4_minhash_dedup
+from .mixing import op2_source_mixing
 from .quality_rules import op6_quality_rules
 from .substring_dedup import ORACLE as SUBSTRING_ORACLE
 from .substring_dedup import op9_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_license_scan, op4_minhash_dedup, op6_quality_rules, op8_language_id, op9_substring_dedup, op10_chat_format)
+    f.__name__: f for f in (op1_embedding_dedup, op2_source_mixing, op3_license_scan, op4_minhash_dedup, op6_quality_rules, op8_language_id, op9_substring_dedup, op10_chat_format)
 }
-ORACLE_SQL: dict[str, str] = {"op4_minhash_dedup": MINHASH_ORACLE, "op9_substring_dedup": SUBSTRING_ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": EMBEDDING_ORACLE, "op4_minhash_dedup": MINHASH_ORACLE, "op9_substring_dedup": SUBSTRING_ORACLE}

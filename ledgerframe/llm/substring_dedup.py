@@ -36,7 +36,7 @@ from .common import table, written
 WINDOW = 35
 GRAM = 12
 #: Entries that a task holds before it cuts a run.
-RUN_ENTRIES = 1 << 20
+RUN_ENTRIES = 1 << 19
 MOST_RUNS = 8
 
 RUN_SCHEMA = "bucket int, sure boolean, keys binary, checks binary, contents binary, positions binary, twice binary"
@@ -113,7 +113,8 @@ class _RunWriter:
             # answers need no merge: cut evenly, so that a hot key doesn't fill a bucket
             starts = np.arange(0, len(b), 4096)
             ends = np.minimum(starts + 4096, len(b))
-            b = np.random.default_rng(len(b)).integers(0, self.buckets, len(b))
+            b = b.copy()
+            b[starts] = _bucket_of(K.mix(contents[starts].view(np.uint64) + K._U(len(b))), self.buckets)
         pack = lambda c: pa.array([c[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary())
         columns = [pack(keys), pack(checks), pack(contents), pack(positions), pack(twice)]
         if sure:
@@ -291,23 +292,32 @@ def verify(joined: DataFrame, window: int, gram: int, buckets: int, with_text: b
     return joined.mapInArrow(run, STEP_SCHEMA)
 
 
-def _confirmed(window_runs: DataFrame, buckets: int) -> DataFrame:
+def _confirmed(window_runs: DataFrame, parts: int) -> DataFrame:
     """Repeated windows as packed answers, cut by content: (part, contents, positions)."""
 
+    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        c, p = (np.concatenate(x) for x in zip(*held))
+        part = _part_of(c, parts)
+        order = np.lexsort((p, c, part))
+        c, p, part = c[order], p[order], part[order]
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        starts, ends = np.append(0, cuts), np.append(cuts, len(c))
+        pack = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), pack(c), pack(p)], names=["part", "contents", "positions"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the answers of a task's buckets leave together: at most one row per task, part and RUN_ENTRIES
+        held, size = [], 0
         for _, rows in _by_bucket(batches):
             c, p = _answers(rows)
-            if not len(c):
-                continue
-            part = _part_of(c, buckets)
-            order = np.lexsort((p, c, part))
-            c, p, part = c[order], p[order], part[order]
-            cuts = np.flatnonzero(np.diff(part)) + 1
-            starts, ends = np.append(0, cuts), np.append(cuts, len(c))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part[starts].astype(np.int32)), pa.array([c[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary()), pa.array([p[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary())],
-                names=["part", "contents", "positions"],
-            )
+            if len(c):
+                held.append((c, p))
+                size += len(c)
+            if size >= RUN_ENTRIES:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
 
     return window_runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "part int, contents binary, positions binary")
 
@@ -463,8 +473,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     small = counts.join(marked, "content", "left")
     joined = everything.join(small.hint("merge"), "content").select("doc_id", "content", "text", "copies", "first_id", "old", F.col("positions").cast("array<int>"))
     steps = written(verify(joined, window, gram, buckets, with_text), "windows")
-    answers = _confirmed(steps.where(F.col("kind") == _RUN).select(*[c.split()[0] for c in RUN_SCHEMA.split(", ")]), buckets)
-    cut = _cut_words(steps.where(F.col("kind") == _TEXT), answers, window, buckets, with_text)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    answers = _confirmed(steps.where(F.col("kind") == _RUN).select(*[c.split()[0] for c in RUN_SCHEMA.split(", ")]), parts)
+    cut = _cut_words(steps.where(F.col("kind") == _TEXT), answers, window, parts, with_text)
     columns = ["doc_id", "n_words", "n_removed", "kept_sha256", "text"]
     out = steps.where(F.col("kind") == _FINAL).select(*columns).unionByName(cut.select(*columns))
     if index:

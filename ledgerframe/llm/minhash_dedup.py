@@ -10,7 +10,8 @@ links with nothing.  Texts with equal sets form one class.  Classes are banded;
    class is verified on full sets;
 2. buckets that then still hold several components are compared tile by tile (``TILE``
    members a side, so a hot bucket becomes many tasks), skipping pairs of one component and
-   pairs that met in an earlier band; survivors of the same pruning are verified.
+   pairs that met in an earlier band; survivors of the same pruning are verified within
+   their tile, which gets each text once and never leaves as a list of pairs.
 
 So every pair that meets in a band is pruned by its signature, verified, or known to be
 connected already; no bucket is capped.  Components follow from the verified links.
@@ -207,11 +208,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                     row = t.first + i
                     if ids[row] != held or last is None:
                         held, last = ids[row], shingle_sets(next(K.slices(batch.column(3).slice(row, 1))))[0]
-                    mine = values[offsets[i] : offsets[i + 1]]
-                    small, large = (mine, last) if len(mine) < len(last) else (last, mine)
-                    k = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                    both_ = int((large[k] == small).sum())
-                    hit[row] = 100 * both_ >= percent * (len(mine) + len(last) - both_)
+                    hit[row] = _reaches(values[offsets[i] : offsets[i + 1]], last, percent)
             some = pa.array(np.flatnonzero(hit))
             yield pa.RecordBatch.from_arrays([a.take(some), b.take(some)], names=["a", "b"])
 
@@ -219,7 +216,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _cross_pairs(bands: DataFrame, classes: DataFrame, labels: DataFrame, bounds: list[int]) -> DataFrame:
-    """Surviving pairs of different components within a bucket, found tile by tile."""
+    """Surviving pairs of different components within a bucket, found tile by tile.
+
+    One row per tile and class: the classes it is still to be compared with, packed (empty
+    where it is only another's partner).
+    """
     placed = bands.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
     rows = placed.join(mixed.select("band", F.ceil(F.col("n") / TILE).cast("int").alias("blocks")), "band")
@@ -254,7 +255,12 @@ def _cross_pairs(bands: DataFrame, classes: DataFrame, labels: DataFrame, bounds
         def done() -> Iterator[pa.RecordBatch]:
             a, b = compare(held)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+                nodes = np.unique(np.concatenate([a, b]))
+                order = np.argsort(a, kind="stable")
+                a, b = a[order], b[order]
+                low, high = np.searchsorted(a, nodes, "left"), np.searchsorted(a, nodes, "right")
+                tile = K.mix(K.mix(np.array([now[0]], np.int64).view(np.uint64) + K._U(now[1])) + K._U(now[2])).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(tile, len(nodes))), pa.array(nodes), pa.array([b[i:j].tobytes() for i, j in zip(low, high)], pa.binary())], names=["tile", "node", "partners"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -272,7 +278,68 @@ def _cross_pairs(bands: DataFrame, classes: DataFrame, labels: DataFrame, bounds
         if held:
             yield from done()
 
-    return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "a long, b long")
+    return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "tile long, node long, partners binary")
+
+
+def _verified_tiles(cross: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links among the pairs of each tile; pairs that the tile's own links connect already are skipped."""
+    rows = cross.join(texts, "node").select("tile", "node", "partners", "text")
+
+    def links(held: list[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
+        sets, root = {}, {}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for part in held:
+            ids = part["node"].to_pylist()
+            for t in K.slices(part["text"]):
+                values, offsets = shingle_sets(t)
+                for i in range(len(t)):
+                    sets[ids[t.first + i]] = values[offsets[i] : offsets[i + 1]]
+        root.update({x: x for x in sets})
+        for part in held:
+            for a, packed in zip(part["node"].to_pylist(), part["partners"].to_pylist()):
+                for b in np.frombuffer(packed, np.int64).tolist():
+                    if find(a) != find(b) and _reaches(sets[a], sets[b], percent):
+                        root[find(a)] = find(b)
+                        yield max(a, b), min(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            found = list(links(held))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tiles = batch.column(0).to_numpy()
+            cut = np.flatnonzero(np.diff(tiles)) + 1
+            for s, e in zip([0, *cut], [*cut, batch.num_rows]):
+                if tiles[s] != now and held:
+                    yield from done()
+                    held = []
+                now = tiles[s]
+                held.append(batch.slice(s, e - s))
+        if held:
+            yield from done()
+
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
+
+
+def _reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    if 100 * len(small) < percent * len(large):
+        return False
+    k = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[k] == small).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,7 +371,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     links = _verified(best, texts, percent).checkpoint()
     labels = components(links, "a", "b")
     cross = _cross_pairs(met.select("band", F.col("a").alias("node")), classes, labels, bounds)
-    links = links.union(_verified(cross.distinct(), texts, percent)).checkpoint()
+    links = links.union(_verified_tiles(cross, texts, percent)).checkpoint()
     labels = components(links, "a", "b").withColumnRenamed("component", "root")
     # the smallest id of each component
     ids = classes.select("node", "low").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -180,8 +180,3 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs.withColumn("doc_id", F.col("doc_id").cast("long")), learn(docs))
 
-
-def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a recognisable language go; ``lang`` becomes the prediction."""
-    found = identify(docs, learn(docs), keep=True).where(F.col("lang_pred") != UNKNOWN)
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)

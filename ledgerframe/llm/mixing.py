@@ -235,8 +235,3 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
-
-def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document as often as the mix takes it, dealt out and shuffled by shard."""
-    mixed = mix_sources(docs).withColumn("_at", F.explode("places"))
-    return mixed.repartition("_at.shard", F.pmod("_at.place", F.lit(64))).sortWithinPartitions("_at.shard", "_at.place").select(*docs.columns)

@@ -16,10 +16,11 @@ from .minhash_dedup import op4_minhash_dedup
 from .mixing import op2_source_mixing
 from .quality_rules import op6_quality_rules
 from .resampling import op7_importance_resampling
+from .sentencepieces import op5_sentencepieces
 from .substring_dedup import ORACLE as SUBSTRING_ORACLE
 from .substring_dedup import op9_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_embedding_dedup, op2_source_mixing, op3_license_scan, op4_minhash_dedup, op6_quality_rules, op7_importance_resampling, op8_language_id, op9_substring_dedup, op10_chat_format)
+    f.__name__: f for f in (op1_embedding_dedup, op2_source_mixing, op3_license_scan, op4_minhash_dedup, op5_sentencepieces, op6_quality_rules, op7_importance_resampling, op8_language_id, op9_substring_dedup, op10_chat_format)
 }
 ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": EMBEDDING_ORACLE, "op4_minhash_dedup": MINHASH_ORACLE, "op9_substring_dedup": SUBSTRING_ORACLE}

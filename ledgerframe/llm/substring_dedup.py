@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 from .common import table, written
@@ -214,9 +215,9 @@ def merge_join(all_runs: DataFrame) -> DataFrame:
     return all_runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "content long, position int")
 
 
-STEP_SCHEMA = "kind int, doc_id long, content long, n_words long, n_removed long, kept_sha256 string, text string, " + RUN_SCHEMA
+STEP_SCHEMA = "kind int, doc_id long, content long, n_words long, n_removed long, kept_sha256 string, text string, rest string, " + RUN_SCHEMA
 _STEP = pa.schema(
-    [("kind", pa.int32()), ("doc_id", pa.int64()), ("content", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()),
+    [("kind", pa.int32()), ("doc_id", pa.int64()), ("content", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("rest", pa.string()),
      ("bucket", pa.int32()), ("sure", pa.bool_()), ("keys", pa.binary()), ("checks", pa.binary()), ("contents", pa.binary()), ("positions", pa.binary()), ("twice", pa.binary())]
 )
 _FINAL, _TEXT, _RUN = 0, 1, 2
@@ -234,14 +235,14 @@ def _sha(words: list[bytes]) -> str:
 def verify(joined: DataFrame, window: int, gram: int, buckets: int, with_text: bool) -> DataFrame:
     """Final rows of documents without candidates, texts of the others, and runs of candidate windows.
 
-    ``joined`` has doc_id, content, text, copies, first_id, old and positions (of repeated
-    fingerprints, or null).
+    ``joined`` has doc_id, content, text, rest, copies, first_id, old and positions (of
+    repeated fingerprints, or null).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, seen = _RunWriter(buckets), set()
         for batch in batches:
-            rows = {n: batch[n].to_pylist() for n in ("doc_id", "content", "copies", "first_id", "old")}
+            rows = {n: batch[n].to_pylist() for n in ("doc_id", "content", "rest", "copies", "first_id", "old")}
             some = batch["positions"].is_valid().to_pylist()
             final, texts, fresh = [], [], []
             for i in range(batch.num_rows):
@@ -252,18 +253,18 @@ def verify(joined: DataFrame, window: int, gram: int, buckets: int, with_text: b
                         said = (batch["text"][i].as_py() or "").encode().split()
                         gone = len(said) if copied and len(said) >= window else 0
                         kept = [] if gone else said
-                        final.append((rows["doc_id"][i], len(said), gone, _sha(kept), b" ".join(kept).decode() if with_text else None))
+                        final.append((rows["doc_id"][i], len(said), gone, _sha(kept), b" ".join(kept).decode() if with_text else None, rows["rest"][i]))
                     else:
                         texts.append(i)
                 if some[i] and (not copied or rows["old"][i] or rows["doc_id"][i] == rows["first_id"][i]) and c not in seen:
                     seen.add(c)
                     fresh.append(i)
             if final:
-                ids, n, gone, sha, said = zip(*final)
-                yield _step(kind=pa.array([_FINAL] * len(ids)), doc_id=pa.array(ids, pa.int64()), n_words=pa.array(n), n_removed=pa.array(gone), kept_sha256=pa.array(sha), text=pa.array(said, pa.string()))
+                ids, n, gone, sha, said, rest = zip(*final)
+                yield _step(kind=pa.array([_FINAL] * len(ids)), doc_id=pa.array(ids, pa.int64()), n_words=pa.array(n), n_removed=pa.array(gone), kept_sha256=pa.array(sha), text=pa.array(said, pa.string()), rest=pa.array(rest, pa.string()))
             if texts:
                 part = batch.take(pa.array(texts))
-                yield _step(kind=pa.array([_TEXT] * len(texts)), doc_id=part["doc_id"], content=part["content"], text=part["text"])
+                yield _step(kind=pa.array([_TEXT] * len(texts)), doc_id=part["doc_id"], content=part["content"], text=part["text"], rest=part["rest"])
             if fresh:
                 part = batch.take(pa.array(fresh))
                 ids = part["content"].to_numpy()
@@ -334,7 +335,7 @@ def _cut_words(texts: DataFrame, answers: DataFrame, window: int, parts: int, wi
             part = _part_of(batch["content"].to_numpy(), parts).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(part), *batch.columns], names=["part", *batch.schema.names])
 
-    placed = texts.select("doc_id", "content", "text").mapInArrow(place, "part int, doc_id long, content long, text string")
+    placed = texts.select("doc_id", "content", "text", "rest").mapInArrow(place, "part int, doc_id long, content long, text string, rest string")
     both = placed.withColumns({"is_text": F.lit(1), "contents": F.lit(None).cast("binary"), "positions": F.lit(None).cast("binary")}).unionByName(
         answers.withColumn("is_text", F.lit(0)), allowMissingColumns=True
     )
@@ -363,11 +364,11 @@ def _cut_words(texts: DataFrame, answers: DataFrame, window: int, parts: int, wi
                     change[at] += 1
                     change[at + window] -= 1
                     kept = [said[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()]
-                out.append((row["doc_id"], len(said), len(said) - len(kept), _sha(kept), b" ".join(kept).decode() if with_text else None))
+                out.append((row["doc_id"], len(said), len(said) - len(kept), _sha(kept), b" ".join(kept).decode() if with_text else None, row["rest"]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "text", "rest"])
 
-    return both.repartition("part").sortWithinPartitions("part", "is_text").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string")
+    return both.repartition("part").sortWithinPartitions("part", "is_text").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, rest string")
 
 
 class FingerprintIndex:
@@ -443,18 +444,20 @@ class FingerprintIndex:
         self._commit([("run", name), *(e for e in self.entries() if e[0] == "text")])
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, index: FingerprintIndex | None = None, with_text: bool = True) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, index: FingerprintIndex | None = None, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove every word that a repeated window covers; one row per row of ``docs``.
 
-    Columns: doc_id, n_words, n_removed, kept_sha256 and, if ``with_text``, ``text`` (kept
-    words joined by one space; null without it).  Words are split at ASCII white space; null
+    Columns: doc_id, n_words, n_removed, kept_sha256, ``text`` (kept words joined by one
+    space; null unless ``with_text``) and ``rest``, a struct of the columns in ``carry``.  Words are split at ASCII white space; null
     texts have none.  Every occurrence goes, the first included.  With ``index``, windows of
     earlier batches count as occurrences too, and the batch is added to the index; results
     are for the new batch alone.  Null and repeated ids are kept; extra columns are ignored.
     """
     spark = docs.sparkSession
     text = F.coalesce(docs[text_col], F.lit(""))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("content"))
+    kinds = T.StructType([docs.schema[c] for c in carry])
+    rest = F.to_json(F.struct(*carry)) if carry else F.lit(None).cast("string")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("content"), rest.alias("rest"))
     buckets = index.buckets if index else _buckets(spark)
     mine = runs(rows, window, gram, buckets)
     counts = rows.groupBy("content").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"))
@@ -463,7 +466,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         past, past_texts = index.runs(), index.texts()
         mine = written(mine, "runs")
         if past is not None:
-            old = past_texts.dropDuplicates(["content"]).select(F.lit(None).cast("long").alias("doc_id"), "text", "content", F.lit(True).alias("old"))
+            old = past_texts.dropDuplicates(["content"]).select(F.lit(None).cast("long").alias("doc_id"), "text", "content", F.lit(None).cast("string").alias("rest"), F.lit(True).alias("old"))
             everything = everything.unionByName(old)
             # a text that an earlier batch holds is a copy
             held = past_texts.select("content").distinct().withColumn("held", F.lit(1))
@@ -471,13 +474,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     merged = mine if not index or past is None else mine.unionByName(past)
     marked = merge_join(merged).groupBy("content").agg(F.collect_list("position").alias("positions"))
     small = counts.join(marked, "content", "left")
-    joined = everything.join(small.hint("merge"), "content").select("doc_id", "content", "text", "copies", "first_id", "old", F.col("positions").cast("array<int>"))
+    joined = everything.join(small.hint("merge"), "content").select("doc_id", "content", "text", "rest", "copies", "first_id", "old", F.col("positions").cast("array<int>"))
     steps = written(verify(joined, window, gram, buckets, with_text), "windows")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     answers = _confirmed(steps.where(F.col("kind") == _RUN).select(*[c.split()[0] for c in RUN_SCHEMA.split(", ")]), parts)
     cut = _cut_words(steps.where(F.col("kind") == _TEXT), answers, window, parts, with_text)
-    columns = ["doc_id", "n_words", "n_removed", "kept_sha256", "text"]
+    columns = ["doc_id", "n_words", "n_removed", "kept_sha256", "text", "rest"]
     out = steps.where(F.col("kind") == _FINAL).select(*columns).unionByName(cut.select(*columns))
+    out = out.withColumn("rest", F.from_json("rest", kinds)) if carry else out.drop("rest")
     if index:
         out = written(out, "deduped")
         index.add(mine, rows.dropDuplicates(["content"]))

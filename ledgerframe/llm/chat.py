@@ -5,8 +5,9 @@ only that reply is trainable.  A conversation that doesn't end with an assistant
 one more row without a trainable part, so that no turn is lost.
 
 A turn is written as ``<|turn|>role<|says|>text<|done|>``.  Inside roles and texts each
-backslash, ``<`` and ``[`` gets a backslash before it, so no control string of this or other
-common templates can appear there, and removing the backslashes restores the text.
+backslash, ``<`` and ``[`` gets a backslash behind it.  That breaks every control string of
+this and other common templates after its first character, so none can appear there, not
+even as a part of an escaped one; dropping the added backslashes restores the text.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 TURN, SAYS, DONE = "<|turn|>", "<|says|>", "<|done|>"
-_ESCAPED = re.compile(r"\\(.)", re.S)
-_TURNS = re.compile(r"<\|turn\|>((?:[^\\<]|\\.)*)<\|says\|>((?:[^\\<]|\\.)*)<\|done\|>", re.S)
+_ESCAPED = re.compile(r"([\\<\[])\\")
+_BODY = r"((?:[^\\<\[]++|[\\<\[]\\)*+)"
+_TURNS = re.compile(rf"<\|turn\|>{_BODY}<\|says\|>{_BODY}<\|done\|>")
 #: Characters of examples per Arrow batch.
 BATCH_CHARS = 1 << 21
 
@@ -32,7 +34,7 @@ DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, los
 
 
 def escaped(column):
-    return F.regexp_replace(F.coalesce(column, F.lit("")), r"([\\<\[])", r"\\$1")
+    return F.regexp_replace(F.coalesce(column, F.lit("")), r"([\\<\[])", r"$1\\")
 
 
 def unescape(text: str) -> str:

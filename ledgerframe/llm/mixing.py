@@ -7,7 +7,9 @@ weight until none is above (water filling).
 Documents.  A source goes in as often as its target holds it whole; the rest of the target
 is filled in the order of a keyed hash.  The hash is a path of 16-way cells, so the cell in
 which the target falls is found from cell sums: no window and no group ever holds more than
-16 cells or about ``POOL`` documents.  In that last cell a document goes in if it still fits.
+16 cells or about ``POOL`` documents.  In that last cell documents go in by hash until one
+doesn't fit; the rest of the room is filled with the largest documents that fit, and one
+more document goes in, or replaces another, if that comes nearer to the target.
 
 Shards.  Each source's target is an exact number of blocks.  A binary tree splits the block
 counts of all sources among the output shards: at every node the left child's counts are a
@@ -129,9 +131,21 @@ def passes(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     # rows that are equal in all that is hashed go together
     pool = pool.groupBy("source", "rest", "before", "path", "_hash").agg(F.sum("_size").alias("words"))
     pool = pool.groupBy("source", "rest", "before", "path").agg(F.sort_array(F.collect_list(F.struct("_hash", "words"))).alias("pool"))
-    fold = """aggregate(pool, named_struct('room', rest - before, 'picked', cast(array() as array<bigint>)),
-        (a, x) -> if(x.words <= a.room, named_struct('room', a.room - x.words, 'picked', concat(a.picked, array(x._hash))), a)).picked"""
-    picked = pool.select(F.col("source").alias("s"), "path", F.expr(fold).alias("picked"))
+    take = "named_struct('room', a.room - x.words, 'picked', concat(a.picked, array(x)), 'open', a.open)"
+    first = f"""aggregate(pool, named_struct('room', rest - before, 'picked', filter(pool, x -> false), 'open', true),
+        (a, x) -> if(a.open and x.words <= a.room, {take}, named_struct('room', a.room, 'picked', a.picked, 'open', false)))"""
+    left = """transform(array_sort(transform(slice(pool, size(first.picked) + 1, size(pool)), x -> named_struct('order', -x.words, '_hash', x._hash))),
+        x -> named_struct('_hash', x._hash, 'words', -x.order))"""
+    pool = pool.withColumn("first", F.expr(first)).withColumn("left", F.expr(left))
+    pool = pool.withColumn("filled", F.expr(f"aggregate(left, first, (a, x) -> if(x.words <= a.room, {take}, a))"))
+    # the one addition or exchange that comes nearest to the target
+    miss = "abs(filled.room - u.words + p.words)"
+    last = f"""aggregate(array_except(left, filled.picked), named_struct('miss', filled.room, 'add', cast(null as bigint), 'drop', cast(null as bigint)),
+        (b, u) -> aggregate(concat(array(named_struct('_hash', cast(null as bigint), 'words', 0L)), filled.picked), b,
+            (c, p) -> if({miss} < c.miss, named_struct('miss', {miss}, 'add', u._hash, 'drop', p._hash), c)))"""
+    pool = pool.withColumn("last", F.expr(last))
+    hashes = F.expr("filter(concat(transform(filled.picked, x -> x._hash), array(last.add)), h -> h is not null and not h <=> last.drop)")
+    picked = pool.select(F.col("source").alias("s"), "path", hashes.alias("picked"))
     return plan.join(picked, _same("source", "s"), "left").select("source", "source_size", "target", "whole", "path", "picked")
 
 

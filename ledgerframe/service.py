@@ -2,6 +2,7 @@
 
     GET    /health                        {"status":"ok","stores":{...}}
     POST   /query?name=value              statement in the body, {"rows":[...]}
+    POST   /stream?name=value             the same for a scan with filter, projection and LIMIT only
     GET    /scan?table=t&alias=a          qualified rows of a table
     GET    /lookup?table=t&alias=a&key=k  the qualified row of a key, if there is one
     GET, PUT, DELETE  /stores/<name>/entries/<key>    one record as a JSON object
@@ -82,7 +83,7 @@ def serve(engine: Engine | None, stores: Mapping[str, RecordStore] | None = None
             if parts == ["health"]:
                 self.allow("GET")
                 self.answer(200, [as_json({"status": "ok", "stores": {n: s.size() for n, s in held.items()}})])
-            elif parts[0] in ("query", "scan", "lookup") and len(parts) == 1:
+            elif parts[0] in ("query", "stream", "scan", "lookup") and len(parts) == 1:
                 self.read(parts[0], parameters)
             elif parts[0] == "stores" and len(parts) in (3, 4) and parts[1] in held:
                 self.records(held[parts[1]], parts[2:])
@@ -90,12 +91,16 @@ def serve(engine: Engine | None, stores: Mapping[str, RecordStore] | None = None
                 raise _Refused(404, "Not found")
 
         def read(self, what: str, parameters: dict[str, object]) -> None:
-            self.allow("POST" if what == "query" else "GET")
+            self.allow("POST" if what in ("query", "stream") else "GET")
             if engine is None:
                 raise ValueError("No engine is configured")
             if what == "query":
                 self.answer(200, rows_json(engine.query(self.body(), parameters)))
                 return
+            if what == "stream":
+                rows = engine.stream(self.body(), parameters)
+                self.answer(200, ['{"rows":[', ",".join(map(as_json, rows)), "]}"])
+                return
             for name in ("table", "alias", "key")[: 2 + (what == "lookup")]:
                 if name not in parameters:
                     raise ValueError(f"Missing parameter: {name}")

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerframe.engine import Engine
+from ledgerframe.functions.codecs import UTF8, json_codec
 from ledgerframe.functions.hashing import fnv1a
 from ledgerframe.functions.parameters import parse_parameter
 from ledgerframe.service import serve
@@ -195,6 +196,18 @@ def test_routed_store(spark, tmp_path):
         RoutedStore(spark, "a/b", Topology.evenly(1, nodes))
 
 
+def test_codecs(spark):
+    df = spark.createDataFrame([("é漢😀", (1, None)), (None, None)], "s string, r struct<a:int,b:string>")
+    for name, codec in (("s", UTF8), ("r", json_codec("a int, b string"))):
+        encoded = df.select(codec.encode(F.col(name)).alias("x"))
+        assert encoded.dtypes == [("x", "binary")]
+        assert [r[0] for r in encoded.select(codec.decode(F.col("x"))).collect()] == [r[name] for r in df.collect()]
+    bad = spark.createDataFrame([(b"\xff{",)], "x binary")
+    for codec in (UTF8, json_codec("a int")):
+        with pytest.raises(Exception):
+            bad.select(codec.decode(F.col("x"))).collect()
+
+
 def test_text_parameters_and_json():
     assert [parse_parameter(t) for t in ("NULL", "True", "-7", "1.50", "1e5", "", "x")] == [None, True, -7, 1.5, "1e5", "", "x"]
     assert as_json({"a": float("nan"), "b": [1, None, "é\n"], "c": b"x"}) == '{"a":"nan","b":[1,null,"é\\n"],"c":"b\'x\'"}'
@@ -221,6 +234,8 @@ def test_http(store):
         assert call(server, "GET", "/stores/t/entries/b%20c") == (200, {"n": 5})
         assert call(server, "PUT", "/stores/t/entries", '{"d": {"n": 6}, "e": {"n": null}}') == (204, None)
         assert call(server, "POST", "/query?low=5", "SELECT _key, n FROM t WHERE n >= :low ORDER BY n") == (200, {"rows": [{"_key": "b c", "n": 5}, {"_key": "d", "n": 6}]})
+        assert call(server, "POST", "/stream", "SELECT n FROM t WHERE _key = 'd'") == (200, {"rows": [{"n": 6}]})
+        assert call(server, "POST", "/stream", "SELECT COUNT(*) FROM t")[0] == 400
         assert call(server, "GET", "/lookup?table=t&alias=x&key=a") == (200, {"rows": [{"x._key": "a", "x.n": 1}]})
         assert len(call(server, "GET", "/scan?table=t&alias=x")[1]["rows"]) == 4
         assert call(server, "DELETE", "/stores/t/entries", '["d"]') == (204, None)

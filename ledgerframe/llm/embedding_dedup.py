@@ -75,7 +75,8 @@ def probe_keys(unit_vectors: np.ndarray, salt: np.ndarray) -> np.ndarray:
             gaps.append((top[:, :1] - top) ** 2)
         loss = sum(gaps[j][:, combos[:, j]] for j in range(HASHES))
         best = np.argsort(loss, axis=1, kind="stable")[:, :probes]
-        key = np.broadcast_to((salt.astype(np.uint64) ^ K._U(t + 1))[:, None], best.shape)
+        # mixed first: else one table's axis could make up for another table's number
+        key = np.broadcast_to(K.mix(K.mix(salt.astype(np.uint64)) ^ K._U(t + 1))[:, None], best.shape)
         for j in range(HASHES):
             key = K.mix(key + np.take_along_axis(axes[j], combos[best, j], 1).astype(np.uint64))
         out[:, t, :probes] = key

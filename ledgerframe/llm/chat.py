@@ -149,3 +149,23 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
     return digests(format_chat(rows.unionByName(probe)))
+
+
+ORACLE = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), n AS (
+  SELECT *, length('<|turn|><|says|><|done|>') + length(role) + length(text) + length(regexp_replace(role || text, '[^\\<\[]', '', 'gs')) AS n,
+    row_number() OVER o AS i, count(*) OVER (PARTITION BY conv_id) AS turns
+  FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), r AS (
+  SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM n
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(coalesce(sum(upto) FILTER (role = 'assistant' OR i = turns), 0) AS BIGINT) AS formatted_chars,
+  count(*) FILTER (role = 'assistant') AS n_examples
+FROM r GROUP BY conv_id
+"""

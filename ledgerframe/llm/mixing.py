@@ -249,3 +249,73 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h
+  FROM documents
+), s AS (
+  SELECT source, sum(size) AS source_size, count(*) AS docs, 3 * sum(size) AS cap,
+    [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight
+  FROM d GROUP BY source
+), w AS (
+  SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS shared
+  FROM s WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), f AS (
+  SELECT *, cap * shared >= weight * rest AS free FROM w
+), level AS (
+  SELECT CAST(rest AS DOUBLE) / shared AS share FROM f WHERE free ORDER BY cap / weight, rest, shared LIMIT 1
+), t AS (
+  SELECT source, CAST(source_size AS BIGINT) AS source_size, docs,
+    CASE WHEN bool_or(free) OVER (ORDER BY cap / weight, source NULLS LAST) THEN weight * (SELECT share FROM level) ELSE CAST(cap AS DOUBLE) END AS target
+  FROM f
+), p AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_size) AS BIGINT), 3) ELSE 0 END AS whole FROM t
+), goal AS (
+  SELECT *, CASE WHEN whole < 3 AND target - whole * source_size >= 0.5 THEN target - whole * source_size ELSE 0 END AS rest FROM p
+), run AS (  -- words up to each document in hash order
+  SELECT d.source, d.h, d.size, g.rest, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h) AS upto
+  FROM d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source WHERE g.rest > 0
+), edge AS (
+  SELECT source, min(h) AS h FROM run WHERE upto >= rest GROUP BY source
+), cell AS (  -- the first level at which the cell of the edge has few documents
+  SELECT e.source, e.h, l.level FROM edge e, (SELECT unnest(range(7)) AS level) l JOIN d ON d.source IS NOT DISTINCT FROM e.source AND d.h >> (60 - 4 * l.level) = e.h >> (60 - 4 * l.level)
+  GROUP BY e.source, e.h, l.level HAVING count(*) <= 512 OR l.level = 6
+), path AS (
+  SELECT source, min(level) AS level, arg_min(h >> (60 - 4 * level), level) AS cell FROM cell GROUP BY source
+), pool AS (
+  SELECT x.source, x.h, x.size, g.rest - (SELECT coalesce(sum(y.size), 0) FROM d y WHERE y.source IS NOT DISTINCT FROM x.source AND y.h >> (60 - 4 * c.level) < c.cell) AS room
+  FROM (SELECT source, h, sum(size) AS size FROM d GROUP BY source, h) x JOIN path c ON x.source IS NOT DISTINCT FROM c.source AND x.h >> (60 - 4 * c.level) = c.cell
+  JOIN goal g ON x.source IS NOT DISTINCT FROM g.source
+), first AS (  -- by hash until one doesn't fit
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h) <= room AS fits, row_number() OVER (PARTITION BY source ORDER BY h) AS i FROM pool
+), room AS (
+  SELECT source, any_value(room) - coalesce(sum(size) FILTER (fits), 0) AS room FROM first GROUP BY source
+), rest AS (
+  SELECT source, h, size, row_number() OVER (PARTITION BY source ORDER BY size DESC, h) AS i FROM first WHERE NOT fits
+), greedy AS (  -- then the largest that fit
+  SELECT source, CAST(0 AS BIGINT) AS i, CAST(room AS DOUBLE) AS room, false AS took FROM room
+  UNION ALL
+  SELECT g.source, r.i, CASE WHEN r.size <= g.room THEN g.room - r.size ELSE g.room END, r.size <= g.room FROM greedy g JOIN rest r ON r.source IS NOT DISTINCT FROM g.source AND r.i = g.i + 1
+), filled AS (
+  SELECT source, arg_max(room, i) AS room FROM greedy GROUP BY source
+), picked AS (
+  SELECT source, h, size, 0 AS a, i AS b FROM first WHERE fits
+  UNION ALL SELECT r.source, r.h, r.size, 1, r.i FROM rest r JOIN greedy g ON r.source IS NOT DISTINCT FROM g.source AND r.i = g.i WHERE g.took
+), unpicked AS (
+  SELECT r.* FROM rest r JOIN greedy g ON r.source IS NOT DISTINCT FROM g.source AND r.i = g.i WHERE NOT g.took
+), last AS (  -- then one addition or exchange, if it comes nearer
+  SELECT u.source, u.h AS added, p.h AS dropped, row_number() OVER (PARTITION BY u.source ORDER BY abs(f.room - u.size + p.size), u.i, p.a, p.b) AS best
+  FROM unpicked u JOIN filled f ON u.source IS NOT DISTINCT FROM f.source
+  JOIN (SELECT source, h, size, a, b FROM picked UNION ALL SELECT source, NULL, 0, -1, 0 FROM filled) p ON p.source IS NOT DISTINCT FROM u.source
+  WHERE abs(f.room - u.size + p.size) < f.room
+), chosen AS (
+  SELECT p.source, p.h FROM picked p WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.best = 1 AND l.source IS NOT DISTINCT FROM p.source AND l.dropped = p.h)
+  UNION SELECT source, added FROM last WHERE best = 1
+)
+SELECT d.doc_id, d.size, g.source_size, g.target,
+  CAST(d.size * (g.whole + CASE WHEN c.h IS NOT NULL OR (x.level > 0 AND d.h >> (60 - 4 * x.level) < x.cell) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN path x ON d.source IS NOT DISTINCT FROM x.source
+LEFT JOIN chosen c ON c.source IS NOT DISTINCT FROM d.source AND c.h = d.h
+"""

@@ -7,21 +7,18 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerframe.llm import minhash_dedup, substring_dedup
-from ledgerframe.llm.embedding_dedup import ORACLE as EMBEDDING_ORACLE
-from ledgerframe.llm.embedding_dedup import near_vectors, op1_embedding_dedup
+from ledgerframe.llm import minhash_dedup, registry
+from ledgerframe.llm.embedding_dedup import near_vectors
 from ledgerframe.llm.substring_dedup import FingerprintIndex, dedup_substrings
 
 from ..oracle import assert_same
 from .data import SF, edge_docs, edge_rows, empty_docs, lower, words
 
 
-@pytest.mark.parametrize(
-    ("query", "oracle"),
-    [(op1_embedding_dedup, EMBEDDING_ORACLE), (minhash_dedup.op4_minhash_dedup, minhash_dedup.ORACLE), (substring_dedup.op9_substring_dedup, substring_dedup.ORACLE)],
-)
-def test_equals_sql(spark, query, oracle):
-    assert_same(query(spark, SF), oracle, SF)
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_equals_sql(spark, name, sf):
+    assert_same(registry.QUERIES[name](spark, sf), registry.ORACLE_SQL[name], sf)
 
 
 def smallest_reachable(nodes, links):

@@ -33,6 +33,8 @@ from .common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 41
+#: Bytes of text encoded at a time: some 60 bytes of arrays are held for each.
+SLICE_BYTES = 1 << 18
 #: Characters of a stretch beyond which its agenda is a heap.
 LONG = 48
 
@@ -289,9 +291,9 @@ def _segments(t: K.Texts) -> Iterator[tuple[np.ndarray, int, int]]:
     data, at = t.data, 0
     while at < len(data):
         to = len(data)
-        if to - at > K.SLICE_BYTES:
-            space = np.flatnonzero((data[at + K.SLICE_BYTES :] == 32) & (data[at + K.SLICE_BYTES - 1 : -1] != 32))
-            to = at + K.SLICE_BYTES + int(space[0]) if len(space) else to
+        if to - at > SLICE_BYTES:
+            space = np.flatnonzero((data[at + SLICE_BYTES :] == 32) & (data[at + SLICE_BYTES - 1 : -1] != 32))
+            to = at + SLICE_BYTES + int(space[0]) if len(space) else to
         yield data[at:to], at
         at = to
 
@@ -317,9 +319,9 @@ def encode_pieces(docs: DataFrame, pieces: Pieces, dropout: float = DROPOUT, see
         for batch in batches:
             text = batch.column(len(columns))
             keys = batch.column(len(columns) + 1).to_numpy()
-            for t in K.slices(text):
+            for t in K.slices(text, SLICE_BYTES):
                 own = keys[t.first : t.first + len(t)]
-                if len(t) == 1 and len(t.data) > K.SLICE_BYTES:
+                if len(t) == 1 and len(t.data) > SLICE_BYTES:
                     parts = [model.encode(K.Texts(d, np.array([0, len(d)]), 0), own, dropout, np.array([at]))[0] for d, at in _segments(t)]
                     ids = np.concatenate(parts)
                     offsets = np.array([0, len(ids)])

@@ -36,31 +36,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def components(edges: DataFrame, a: str, b: str, most_rounds: int = 200) -> DataFrame:
     """Smallest node reachable from every node of ``edges`` (columns ``node``, ``component``).
 
-    Min-label propagation with pointer jumping.  Only sums and minima per node are shuffled
+    Each round every class of nodes takes the smallest label that any member hears from a
+    neighbour, then the label of the node with that number (pointer jumping): distances to
+    the smallest node about double with each round.  Only minima are shuffled
     (combined before the shuffle), joins are plain equi-joins that adaptive execution may
-    split, and each round's labels are cut from their lineage with ``checkpoint``.
+    split, and each round's labels are written: a checkpoint would keep its plan's
+    constraints, which double with every round.
     """
-    spark = edges.sparkSession
-    shared_dir(spark)
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    both = both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
+    both = written(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     labels = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low"))
-    labels = labels.select("node", F.least("node", "low").alias("component")).checkpoint()
+    labels = written(labels.select("node", F.least("node", "low").alias("component")), "labels")
     for _ in range(most_rounds):
-        heard = (
-            both.join(labels.withColumnRenamed("node", "u"), "u")
-            .groupBy(F.col("v").alias("node"))
-            .agg(F.min("component").alias("heard"))
-        )
-        nearer = labels.join(heard, "node", "left").select(
-            "node", F.col("component").alias("old"), F.least("component", F.coalesce("heard", "component")).alias("component")
-        )
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        new = nearer.join(jump, "component", "left").select(
-            "node", F.least("component", F.coalesce("root", "component")).alias("component"), "old"
-        ).checkpoint()
-        moved = new.where("component <> old").limit(1).count()
-        labels = new.drop("old")
-        if not moved:
+        heard = both.join(labels.withColumnRenamed("node", "u"), "u").groupBy(F.col("v").alias("node")).agg(F.min("component").alias("heard"))
+        near = labels.join(heard, "node").groupBy("component").agg(F.min(F.least("component", "heard")).alias("next"))
+        near = written(near, "classes")
+        if near.where("next < component").isEmpty():
             return labels
+        jump = labels.select(F.col("node").alias("next"), F.col("component").alias("further"))
+        taken = near.join(jump, "next", "left").select("component", F.coalesce("further", "next").alias("taken"))
+        labels = written(labels.join(taken, "component").select("node", F.col("taken").alias("component")), "labels")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

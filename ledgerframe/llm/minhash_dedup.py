@@ -368,10 +368,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     texts = rows.join(wanted, (rows["content"] == wanted["content"]) & rows["doc_id"].eqNullSafe(wanted["low"])).select("node", "text")
     texts = written(texts, "texts")
     best = _pruned(pairs, classes, bounds).groupBy("a").agg(F.max(F.struct("equal", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    links = _verified(best, texts, percent).checkpoint()
+    links = written(_verified(best, texts, percent), "links")
     labels = components(links, "a", "b")
     cross = _cross_pairs(met.select("band", F.col("a").alias("node")), classes, labels, bounds)
-    links = links.union(_verified_tiles(cross, texts, percent)).checkpoint()
+    links = written(links.union(_verified_tiles(cross, texts, percent)), "links")
     labels = components(links, "a", "b").withColumnRenamed("component", "root")
     # the smallest id of each component
     ids = classes.select("node", "low").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -25,12 +25,36 @@ def shared_dir(spark: SparkSession) -> str:
     return set_to.rstrip("/")
 
 
+#: Tables of this session in the shared folder: their file index (weakly) and path.
+_tables: list[tuple[object, str]] = []
+
+
+def _sweep(spark: SparkSession) -> None:
+    """Delete the tables that no plan of this session refers to any more."""
+    jvm, kept = spark.sparkContext._jvm, []
+    for index, path in _tables:
+        if index.get() is not None:
+            kept.append((index, path))
+            continue
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _tables[:] = kept
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Every plan made from the result holds its file index; once the JVM has collected that,
+    a later call deletes the table.
+    """
     spark = df.sparkSession
+    _sweep(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    index = out._jdf.queryExecution().analyzed().relation().location()
+    _tables.append((spark.sparkContext._jvm.java.lang.ref.WeakReference(index), path))
+    return out
 
 
 def components(edges: DataFrame, a: str, b: str, most_rounds: int = 200) -> DataFrame:

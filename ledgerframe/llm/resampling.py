@@ -32,6 +32,8 @@ _CUTS = 64
 #: Rows left when the k-th largest key is looked up directly.
 DIRECT = 4096
 
+#: Buckets are the top bits of an n-gram's bytes times this number (2**64 over the golden ratio).
+_SPREAD = K._U(0x9E3779B97F4A7C15)
 _FOLD = K.LOWER.copy()
 _FOLD[K.WHITE] = 32
 
@@ -47,16 +49,20 @@ def _grams(t: K.Texts) -> tuple[np.ndarray, np.ndarray]:
     inner[at] = False
     inner[at + size + 1] = False
     data[inner] = _FOLD[t.data]
-    owner = np.repeat(np.arange(n), size + 2)
     m = len(data) - GRAM_BYTES + 1
     if m <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     key = data[:m].copy()
     for j in range(1, GRAM_BYTES):
-        key = (key << K._U(8)) | data[j : m + j]
-    ok = owner[:m] == owner[GRAM_BYTES - 1 :]
-    pair = np.unique((owner[:m][ok].astype(np.uint64) << K._U(BUCKET_BITS)) | (K.mix(key[ok]) >> K._U(64 - BUCKET_BITS)))
-    return (pair & K._U((1 << BUCKET_BITS) - 1)).astype(np.int64), (pair >> K._U(BUCKET_BITS)).astype(np.int64)
+        key <<= K._U(8)
+        key |= data[j : m + j]
+    # text and bucket in one number, of 32 bits if they fit: sorting is most of the work
+    kind = np.uint32 if n <= 1 << (32 - BUCKET_BITS) else np.uint64
+    owner = np.repeat(np.arange(n, dtype=kind), size + 2)
+    pair = (owner[:m] << kind(BUCKET_BITS)) | ((key * _SPREAD) >> K._U(64 - BUCKET_BITS)).astype(kind)
+    pair = np.sort(pair[owner[:m] == owner[GRAM_BYTES - 1 :]])
+    pair = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
+    return (pair & kind((1 << BUCKET_BITS) - 1)).astype(np.int64), (pair >> kind(BUCKET_BITS)).astype(np.int64)
 
 
 def gram_counts(texts: DataFrame) -> np.ndarray:

@@ -212,7 +212,7 @@ def test_long_texts_are_cut_without_a_change(pieces, monkeypatch):
     text = next(t for _, t, *_ in edge_rows() if t and len(t) > 100_000)
     t = next(kernels.slices(pa.array([text]), 1 << 24))
     whole, _ = pieces.encode(t, np.array([5]), 0.2)
-    monkeypatch.setattr(kernels, "SLICE_BYTES", 9999)
+    monkeypatch.setattr(sentencepieces, "SLICE_BYTES", 9999)
     parts = [pieces.encode(kernels.Texts(d, np.array([0, len(d)]), 0), np.array([5]), 0.2, np.array([at]))[0] for d, at in sentencepieces._segments(t)]
     assert len(parts) > 10 and np.concatenate(parts).tolist() == whole.tolist()
 
@@ -273,7 +273,7 @@ def brute_weights(texts, target):
         return {data[i : i + 5] for i in range(len(data) - 4)}
 
     def bucket(g):
-        return int(kernels.mix(np.array([int.from_bytes(g, "big")], np.uint64))[0] >> np.uint64(64 - resampling.BUCKET_BITS))
+        return (int.from_bytes(g, "big") * 0x9E3779B97F4A7C15 % 2**64) >> (64 - resampling.BUCKET_BITS)
 
     of = [{bucket(g) for g in grams(t)} for t in texts]
     raw, good = Counter(b for s in of for b in s), Counter(b for t in target for b in {bucket(g) for g in grams(t)})

@@ -312,6 +312,20 @@ def test_resampling_keeps_good_documents(spark):
     assert np.mean([r.kept for r in rows if r.quality == 1]) > 0.93
 
 
+def test_resampling_counts_every_ratio():
+    ratios = resampling.log_ratios(np.array([9, 4, 0, 7]), np.array([10, 10, 10, 10]))
+    assert np.all(ratios[[0, 3]] > 0) and np.all(ratios[[1, 2]] < 0)
+
+
+@pytest.mark.parametrize("sf", [SF, SF2, "/root/testdata/sf0.1"])
+def test_resampling_mostly_leaves_bad_documents(spark, sf):
+    rows = resampling.op7_importance_resampling(spark, sf).join(table(spark, sf, "labels"), "doc_id").collect()
+    bad = [r for r in rows if r.quality == 0 or r.toxic == 1]
+    good = [r for r in rows if r.quality == 1 and r.toxic == 0]
+    assert np.median([r.log_weight for r in bad]) < np.median([r.log_weight for r in good])
+    assert np.mean([r.kept for r in bad]) < 0.4 and np.mean([r.kept for r in good]) > 0.8
+
+
 # 8: language
 
 

@@ -27,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays.
+    """Of each group of near copies (a similarity of 0.8 or more) the document with the smallest id stays.
 
     Of rows equal in id and text one stays.  A null id counts as an id of its own for every
     text, below all others.

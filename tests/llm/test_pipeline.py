@@ -51,6 +51,15 @@ def test_near_copies_stage(spark, documents, edges):
     assert bag(got) - bag(docs) == Counter()
 
 
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
+def test_near_copies_stage_at_80(spark, sf):
+    docs = table(spark, sf, "documents")
+    sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) > 0]
+    low = smallest_reachable(sets, links)
+    assert {r.doc_id for r in P.near_copies(spark, docs, sf).collect()} == {i for i in sets if low[i] == i}
+
+
 @pytest.mark.parametrize("edges", [False, True])
 def test_passages_stage(spark, documents, edges):
     docs = edge_docs(spark) if edges else documents

@@ -29,14 +29,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (a similarity of 0.8 or more) the document with the smallest id stays.
 
-    Of rows equal in id and text one stays.  A null id counts as an id of its own for every
+    Of rows equal in id and text one stays; different texts under one id are documents of their
+    own, the smaller hash first.  A null id counts as an id of its own for every
     text, below all others.
     """
     text = F.coalesce("text", F.lit(""))
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)) - F.shiftrightunsigned(F.xxhash64(text), 2))
     keyed = docs.withColumns({"_id": own, "_content": F.xxhash64(text)})
-    kept = near_duplicates(keyed, id_col="_id").where("kept").select("doc_id").distinct()
-    stay = keyed.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("_id") == F.col("_kept"), "left_semi")
+    kept = near_duplicates(keyed, id_col="_id", by_row=True).where("kept").select("doc_id", "content").distinct()
+    kept = kept.withColumnsRenamed({"doc_id": "_kept", "content": "_kept_content"})
+    stay = keyed.join(kept, (F.col("_id") == F.col("_kept")) & (F.col("_content") == F.col("_kept_content")), "left_semi")
     return stay.dropDuplicates(["_id", "_content"]).select(*docs.columns)
 
 

@@ -342,13 +342,15 @@ def _reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", by_row: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per row of ``docs``.
 
     Two texts link if 100 * intersection >= percent * union.  ``component_id`` is the
     smallest id reachable (the own id for texts without words).  Nulls count as empty texts;
     null ids never name a component unless all its ids are null, and are never kept; a
-    repeated row is kept wherever its id is; extra columns are ignored.
+    repeated row is kept wherever its id is; extra columns are ignored.  With ``by_row`` texts
+    under one id are told apart by a column ``content`` (xxhash64 of the text, nulls as empty):
+    of a component only the rows of the smallest id and content are kept.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("content"), text.alias("text"))
@@ -374,12 +376,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     links = written(links.union(_verified_tiles(cross, texts, percent)), "links")
     labels = components(links, "a", "b").withColumnRenamed("component", "root")
     # the smallest id of each component
-    ids = classes.select("node", "low").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    low = ids.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = ids.join(low, "root").select("node", "component_id")
-    out = sketched.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    ids = classes.select("node", "low", "content").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = [F.min(F.struct(F.col("low").isNull(), "low", "content"))["content"].alias("first")] if by_row else []
+    low = ids.groupBy("root").agg(F.min("low").alias("component_id"), *first)
+    named = ids.join(low, "root").select("node", "component_id", *(["first"] if by_row else []))
+    out = sketched.select("doc_id", "n_shingles", "node", *(["content"] if by_row else [])).join(named, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    kept = F.col("doc_id") == F.col("component_id")
+    if by_row:
+        kept = kept & (F.col("node").isNull() | (F.col("content") == F.col("first")))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(kept, F.lit(False)).alias("kept"), *(["content"] if by_row else []))
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

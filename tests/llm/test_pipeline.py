@@ -60,6 +60,14 @@ def test_near_copies_stage_at_80(spark, sf):
     assert {r.doc_id for r in P.near_copies(spark, docs, sf).collect()} == {i for i in sets if low[i] == i}
 
 
+def test_near_copies_stage_decides_by_row(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    rows = [(3, a), (7, a + " end"), (7, b), (7, b), (9, c), (9, c + " end"), (None, "one"), (None, "two"), (11, ""), (11, "...")]
+    got = P.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), SF).collect()
+    left = Counter((r.doc_id, r.text.removesuffix(" end")) for r in got)
+    assert left == Counter([(3, a), (7, b), (9, c), (None, "one"), (None, "two"), (11, ""), (11, "...")])
+
+
 @pytest.mark.parametrize("edges", [False, True])
 def test_passages_stage(spark, documents, edges):
     docs = edge_docs(spark) if edges else documents

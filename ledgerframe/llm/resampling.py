@@ -2,7 +2,9 @@
 
 Two generative models over hashed byte n-grams, each counted once a text: one of target text
 (labelled good), one of the raw corpus.  A text's log weight is the sum of all its n-grams'
-log ratios, shrunk by a Gamma prior of ``PRIOR`` pseudo-counts; none is left out.  Texts are drawn
+log ratios; none is left out.  The prior is relative to the corpus - every n-gram is taken as
+seen ``PRIOR`` more times in raw text and in the target's share of that - so that a target of
+any size is smoothed alike.  Texts are drawn
 without replacement by Gumbel top-k: the k largest sums of log weight and keyed Gumbel noise.
 By default k is the number of target-like texts, i.e. the sum of the weights capped at 1.
 """
@@ -21,17 +23,16 @@ from .common import table, written
 
 #: Labelled rows that the target model is fitted on, at most; chosen by a hash of the id.
 FIT_ROWS = 20_000
-BUCKET_BITS = 18
-GRAM_BYTES = 5
-PRIOR = 3.0
-#: Least absolute log ratio that counts: all do (the brute-force test reads it).
-TELLING = 0.0
+BUCKET_BITS = 19
+#: Lengths of the n-grams.
+GRAM_BYTES = (3, 4)
+PRIOR = 0.5
 SEED = 29
 _CUTS = 64
 #: Rows left when the k-th largest key is looked up directly.
 DIRECT = 4096
 
-#: Buckets are the top bits of an n-gram's bytes times this number (2**64 over the golden ratio).
+#: Buckets are the top bits of an n-gram's length and bytes times this number (2**64 over the golden ratio).
 _SPREAD = K._U(0x9E3779B97F4A7C15)
 _FOLD = K.LOWER.copy()
 _FOLD[K.WHITE] = 32
@@ -48,18 +49,21 @@ def _grams(t: K.Texts) -> tuple[np.ndarray, np.ndarray]:
     inner[at] = False
     inner[at + size + 1] = False
     data[inner] = _FOLD[t.data]
-    m = len(data) - GRAM_BYTES + 1
-    if m <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    key = data[:m].copy()
-    for j in range(1, GRAM_BYTES):
-        key <<= K._U(8)
-        key |= data[j : m + j]
     # text and bucket in one number, of 32 bits if they fit: sorting is most of the work
     kind = np.uint32 if n <= 1 << (32 - BUCKET_BITS) else np.uint64
     owner = np.repeat(np.arange(n, dtype=kind), size + 2)
-    pair = (owner[:m] << kind(BUCKET_BITS)) | ((key * _SPREAD) >> K._U(64 - BUCKET_BITS)).astype(kind)
-    pair = np.sort(pair[owner[:m] == owner[GRAM_BYTES - 1 :]])
+    pairs = [np.zeros(0, kind)]
+    for length in GRAM_BYTES:
+        m = len(data) - length + 1
+        if m <= 0:
+            continue
+        key = np.full(m, length, np.uint64)
+        for j in range(length):
+            key <<= K._U(8)
+            key |= data[j : m + j]
+        pair = (owner[:m] << kind(BUCKET_BITS)) | ((key * _SPREAD) >> K._U(64 - BUCKET_BITS)).astype(kind)
+        pairs.append(pair[owner[:m] == owner[length - 1 :]])
+    pair = np.sort(np.concatenate(pairs))
     pair = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
     return (pair & kind((1 << BUCKET_BITS) - 1)).astype(np.int64), (pair >> kind(BUCKET_BITS)).astype(np.int64)
 
@@ -83,7 +87,9 @@ def gram_counts(texts: DataFrame) -> np.ndarray:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["cut", "counts"])
 
-    rows = texts.mapInArrow(count, "cut int, counts binary").repartition("cut").mapInArrow(add, "cut int, counts binary").collect()
+    # one vector a task: as many tasks as keep the cluster busy, however many files there are
+    tasks = max(_CUTS, 4 * texts.sparkSession.sparkContext.defaultParallelism)
+    rows = texts.coalesce(tasks).mapInArrow(count, "cut int, counts binary").repartition("cut").mapInArrow(add, "cut int, counts binary").collect()
     out = np.zeros((_CUTS, (1 << BUCKET_BITS) // _CUTS), np.int64)
     for r in rows:
         out[r.cut] += np.frombuffer(r.counts, np.int64)
@@ -91,8 +97,8 @@ def gram_counts(texts: DataFrame) -> np.ndarray:
 
 
 def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    expected = raw * (target.sum() / max(1, raw.sum()))
-    return np.log((target + PRIOR) / (expected + PRIOR))
+    share = target.sum() / max(1, raw.sum())
+    return np.log((target / share + PRIOR) / (raw + PRIOR))
 
 
 def _kth_largest(keys: DataFrame, k: int) -> float:

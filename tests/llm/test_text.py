@@ -270,16 +270,16 @@ def test_forest_is_monotone_and_flat():
 def brute_weights(texts, target):
     def grams(text):
         data = b" " + bytes(32 if b in (9, 10, 11, 12, 13, 32) else b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()) + b" "
-        return {data[i : i + 5] for i in range(len(data) - 4)}
+        return {data[i : i + n] for n in resampling.GRAM_BYTES for i in range(len(data) - n + 1)}
 
     def bucket(g):
-        return (int.from_bytes(g, "big") * 0x9E3779B97F4A7C15 % 2**64) >> (64 - resampling.BUCKET_BITS)
+        return (int.from_bytes(bytes([len(g)]) + g, "big") * 0x9E3779B97F4A7C15 % 2**64) >> (64 - resampling.BUCKET_BITS)
 
     of = [{bucket(g) for g in grams(t)} for t in texts]
     raw, good = Counter(b for s in of for b in s), Counter(b for t in target for b in {bucket(g) for g in grams(t)})
     share = sum(good.values()) / max(1, sum(raw.values()))
-    ratio = lambda b: np.log((good[b] + resampling.PRIOR) / (raw[b] * share + resampling.PRIOR))
-    return [sum(r for b in s if abs(r := ratio(b)) >= resampling.TELLING) for s in of]
+    ratio = lambda b: np.log((good[b] / share + resampling.PRIOR) / (raw[b] + resampling.PRIOR))
+    return [sum(ratio(b) for b in s) for s in of]
 
 
 def test_resampling_weights_and_top_k(spark):
@@ -289,7 +289,7 @@ def test_resampling_weights_and_top_k(spark):
     target = df.where("doc_id >= 120")
     want = brute_weights([r[1] for r in rows], [r[1] for r in rows if r[0] is not None and r[0] >= 120])
     got = resampling.resample(df, target, k=20).collect()
-    assert sorted(round(r.log_weight, 6) for r in got) == pytest.approx(sorted(want), abs=1e-5) and len(got) == len(rows)
+    assert sorted(round(r.log_weight, 6) for r in got) == pytest.approx(sorted(want), abs=1e-5) and len(got) == len(rows) and sum(abs(x) > 1 for x in want) > len(want) / 2
     least = sorted((r.gumbel_key for r in got), reverse=True)[19]
     assert all(r.kept == (r.gumbel_key >= least) for r in got)
     assert resampling.resample(empty_docs(spark), target).collect() == []
@@ -305,15 +305,30 @@ def test_kth_largest(spark):
         assert resampling._kth_largest(df, k) == np.sort(keys)[::-1][k - 1]
 
 
-def test_resampling_keeps_good_documents(spark):
-    docs, labels = table(spark, SF2, "documents"), table(spark, SF2, "labels")
+def auc(good, bad):
+    """The chance that a good row's value is above a bad row's."""
+    return np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+
+
+#: On unseen halves: the least AUC, the least share of good rows kept, the largest share of bad rows kept.
+UNSEEN = {SF2: (0.75, 0.7, 0.4), "/root/testdata/sf0.1": (0.85, 0.8, 0.3)}
+
+
+@pytest.mark.parametrize("sf", UNSEEN)
+def test_resampling_tells_unseen_documents_apart(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     seen = F.col("doc_id") % 2 == 0
     rows = resampling.resample(docs, resampling.good_texts(docs, labels.where(seen))).join(labels.where(~seen), "doc_id").collect()
-    assert np.mean([r.kept for r in rows if r.quality == 1]) > 0.93
+    good = [r for r in rows if r.quality == 1 and r.toxic == 0]
+    bad = [r for r in rows if r.quality == 0 or r.toxic == 1]
+    least, kept, left = UNSEEN[sf]
+    assert auc([r.log_weight for r in good], [r.log_weight for r in bad]) >= least
+    assert np.mean([r.kept for r in good]) > kept and np.mean([r.kept for r in bad]) < left
 
 
 def test_resampling_counts_every_ratio():
     ratios = resampling.log_ratios(np.array([9, 4, 0, 7]), np.array([10, 10, 10, 10]))
+    assert np.all(ratios != 0)
     assert np.all(ratios[[0, 3]] > 0) and np.all(ratios[[1, 2]] < 0)
 
 

@@ -1,29 +1,35 @@
 """A corpus pipeline over ``documents``: language, near copies, repeated passages, mix, pieces.
 
 Each stage takes (spark, docs, sf_dir) and works on every row its predecessor kept; all but
-the last return the columns of ``docs``.  The stages have no caps and no state besides what
-they write to the shared folder.
+the last return the columns of ``docs`` with their values: what a stage adds has names that
+``docs`` hasn't, and goes before the stage ends.  The stages have no caps and no state besides
+what they write to the shared folder.
 """
 
 from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerframe.llm.common import table, written
+from ledgerframe.llm.common import contents, fresh, table, written
 from ledgerframe.llm.language_id import UNKNOWN, identify, learn
 from ledgerframe.llm.minhash_dedup import near_duplicates
-from ledgerframe.llm.mixing import mix_sources
+from ledgerframe.llm.mixing import dealt
 from ledgerframe.llm.sentencepieces import MODEL, Pieces, encode_pieces
 from ledgerframe.llm.substring_dedup import dedup_substrings
 
 
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go (null and empty texts too); ``lang`` becomes the predicted one."""
-    found = identify(docs, learn(docs), keep=True).where(F.col("lang_pred") != UNKNOWN)
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    name = fresh("lang_pred", docs.columns)
+    found = identify(docs, learn(docs), keep=True, names=(name, fresh("score", docs.columns))).where(F.col(name) != UNKNOWN)
+    return found.withColumn("lang", F.col(name)).select(*_columns(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +41,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)) - F.shiftrightunsigned(F.xxhash64(text), 2))
-    keyed = docs.withColumns({"_id": own, "_content": F.xxhash64(text)})
-    kept = near_duplicates(keyed, id_col="_id", by_row=True).where("kept").select("doc_id", "content").distinct()
-    kept = kept.withColumnsRenamed({"doc_id": "_kept", "content": "_kept_content"})
-    stay = keyed.join(kept, (F.col("_id") == F.col("_kept")) & (F.col("_content") == F.col("_kept_content")), "left_semi")
-    return stay.dropDuplicates(["_id", "_content"]).select(*docs.columns)
+    node = fresh("_id", docs.columns)
+    content = [fresh(f"_content{k}", docs.columns) for k in range(2)]
+    keyed = docs.withColumns({node: own, **dict(zip(content, contents(text)))})
+    kept = near_duplicates(keyed, id_col=node, by_row=True).where("kept").select("doc_id", "content", "content2").distinct()
+    names = [f"{n}_kept" for n in (node, *content)]
+    kept = kept.toDF(*[fresh(n, keyed.columns) for n in names])
+    same = [F.col(a) == F.col(b) for a, b in zip((node, *content), kept.columns)]
+    stay = keyed.join(kept, same, "left_semi")
+    return stay.dropDuplicates([node, *content]).select(*_columns(docs))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,17 +59,15 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     cut = dedup_substrings(docs, carry=others)
-    cut = cut.select("doc_id", "text", *[F.col("rest")[c].alias(c) for c in others])
+    made = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("text"), **{c: F.col("rest")[c] for c in others}}
     if "n_chars" in others:
-        cut = cut.withColumn("n_chars", F.length("text").cast("long"))
-    return cut.select(*docs.columns)
+        made["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[made[c].alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, dealt out to shards and shuffled within them."""
-    mixed = mix_sources(docs).withColumn("_at", F.explode("places"))
-    dealt = mixed.repartition(F.col("_at")["shard"], F.pmod(F.col("_at")["place"], F.lit(64)))
-    return dealt.sortWithinPartitions(F.col("_at")["shard"], F.col("_at")["place"]).select(*docs.columns)
+    return dealt(docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str, model: str = MODEL) -> DataFrame:

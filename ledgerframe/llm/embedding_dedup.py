@@ -21,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import components, table, written
+from .common import components, own_nodes, table, tasks_for, written
 
 TABLES, HASHES, PROBES = 6, 3, 8
 RUNNERS = 4
@@ -96,25 +97,6 @@ def _groups(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, _matrix(column.take(pa.array(at)))
 
 
-def _entries(classes: DataFrame) -> DataFrame:
-    """(bucket, node, probe) for all vectors; probe 0 is where a vector is stored."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
-                nodes, salts = piece.column(0).to_numpy(), piece.column(1).to_numpy().view(np.uint64)
-                for at, vectors in _groups(piece.column(2)):
-                    keys = probe_keys(unit(vectors), salts[at])
-                    probe = np.broadcast_to(np.arange(PROBES, dtype=np.int32), keys.shape)
-                    # short vectors have fewer combinations: no bucket twice
-                    fresh = np.ones(keys.shape, bool)
-                    fresh[:, :, 1:] = keys[:, :, 1:] != keys[:, :, :1]
-                    node = np.broadcast_to(nodes[at][:, None, None], keys.shape)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[fresh].view(np.int64)), pa.array(node[fresh]), pa.array(probe[fresh])], names=["bucket", "node", "probe"])
-
-    return classes.select("node", "salt", "embedding").mapInArrow(run, "bucket long, node long, probe int")
-
-
 def _forest(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     """Edges that connect what a bipartite link matrix connects (nodes may stand on both sides)."""
     edges = []
@@ -136,37 +118,75 @@ def _forest(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[
     return edges
 
 
+def _holds(own: np.ndarray, probed: np.ndarray) -> np.ndarray:
+    """Whether own[i] is among probed[j], for all i and j: keys are looked up once a distinct value."""
+    values, which = np.unique(own, return_inverse=True)
+    at = np.minimum(np.searchsorted(values, probed), len(values) - 1)
+    found = np.zeros((len(values), len(probed)), bool)
+    j, k = np.nonzero(values[at] == probed)
+    found[at[j, k], j] = True
+    return found[which]
+
+
 def _compare(bucket: int, rows: list[tuple], link: float) -> tuple[list, list]:
     """Link counts and connecting edges of one tile: stored vectors against probing ones."""
-    node, stored, salt, copies, probe = (np.concatenate([r[k] for r in rows]) for k in range(5))
-    vectors = unit(np.concatenate([r[5] for r in rows]))
+    node, stored, copies = (np.concatenate([r[k] for r in rows]) for k in range(3))
     s, p = np.flatnonzero(stored), np.flatnonzero(~stored)
     if not len(s) or not len(p):
         return [], []
-    near = (vectors[s] @ vectors[p].T >= link) & (node[s][:, None] != node[p][None, :])
-    i, j = np.nonzero(near)
-    if not len(i):
+    vectors = unit(np.concatenate([r[4] for r in rows]))
+    hit = (vectors[s] @ vectors[p].T >= link) & (node[s][:, None] != node[p][None, :])
+    if not hit.any():
         return [], []
-    a, b = s[i], p[j]
-    used = np.unique(np.concatenate([a, b]))
-    keys = probe_keys(vectors[used], salt[used])
-    a, b = np.searchsorted(used, a), np.searchsorted(used, b)
-    own = keys[:, :, 0]
-    small = node[used][a] < node[used][b]
-    # events in order: by table, then the smaller node stored before the larger one stored
-    t = np.flatnonzero((own[a[0]] == np.uint64(bucket)))[0]
-    earlier = np.zeros(len(a), bool)
-    for k in range(t + 1):
-        stored_a = (keys[b, k] == own[a, k][:, None]).any(axis=1)
-        stored_b = (keys[a, k] == own[b, k][:, None]).any(axis=1)
-        earlier |= np.where(small, (stored_a & (k < t)) | (stored_b & (k < t)), (stored_a & (k < t)) | stored_b)
-    i, j = i[~earlier], j[~earlier]
-    hit = np.zeros(near.shape, bool)
-    hit[i, j] = True
-    counts = [*zip(node[s], hit @ copies[p]), *zip(node[p], hit.T @ copies[s])]
+    keys = np.concatenate([r[3] for r in rows])
+    # a pair counts where it first meets: by table, then the smaller node stored before the larger one stored
+    t = np.flatnonzero(keys[s[0], :, 0] == np.uint64(bucket))[0]
+    for k in range(t):
+        hit &= ~_holds(keys[s, k, 0], keys[p, k])
+        hit &= ~_holds(keys[p, k, 0], keys[s, k]).T
+    hit &= ~(_holds(keys[p, t, 0], keys[s, t]).T & (node[s][:, None] > node[p][None, :]))
+    links = hit.astype(np.float64)
+    counts = [*zip(node[s], links @ copies[p].astype(np.float64)), *zip(node[p], links.T @ copies[s].astype(np.float64))]
     return [(int(n), int(c)) for n, c in counts if c], _forest(hit, node[s], node[p])
 
 
+def _with_keys(classes: DataFrame) -> DataFrame:
+    """``classes`` with all bucket keys of every vector (TABLES x PROBES numbers)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                salts = piece["salt"].to_numpy().view(np.uint64)
+                packed: list[bytes] = [b""] * piece.num_rows
+                for at, vectors in _groups(piece["embedding"]):
+                    for i, k in zip(at.tolist(), probe_keys(unit(vectors), salts[at])):
+                        packed[i] = k.tobytes()
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(packed, pa.binary())], names=[*piece.schema.names, "keys"])
+
+    return classes.mapInArrow(run, T.StructType([*classes.schema.fields, T.StructField("keys", T.BinaryType())]))
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, TABLES, PROBES)
+
+
+def _entries(classes: DataFrame) -> DataFrame:
+    """(bucket, node, probe) for all vectors; probe 0 is where a vector is stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
+                keys = _unpacked(piece.column(1))
+                probe = np.broadcast_to(np.arange(PROBES, dtype=np.int32), keys.shape)
+                # short vectors have fewer combinations: no bucket twice
+                fresh = np.ones(keys.shape, bool)
+                fresh[:, :, 1:] = keys[:, :, 1:] != keys[:, :, :1]
+                node = np.broadcast_to(piece.column(0).to_numpy()[:, None, None], keys.shape)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[fresh].view(np.int64)), pa.array(node[fresh]), pa.array(probe[fresh])], names=["bucket", "node", "probe"])
+
+    return classes.select("node", "keys").mapInArrow(run, "bucket long, node long, probe int")
+
+
 def _links(classes: DataFrame, link: float) -> DataFrame:
     """Rows (node, other, links): counts where ``other`` is null, else connecting edges."""
     entries = written(_entries(classes), "probes")
@@ -175,10 +195,10 @@ def _links(classes: DataFrame, link: float) -> DataFrame:
         {"rows": F.ceil(F.col("s") / TILE).cast("int"), "cols": F.ceil(F.col("n") / TILE).cast("int")}
     )
     place = F.xxhash64("node", "bucket")
-    as_stored = met.where("probe = 0").select("bucket", "node", F.lit(True).alias("stored"), F.pmod(place, "rows").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"), "probe")
-    as_probing = met.select("bucket", "node", F.lit(False).alias("stored"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(place, "cols").cast("int").alias("j"), "probe")
-    rows = as_stored.unionByName(as_probing).join(classes.select("node", "salt", "copies", "embedding"), "node")
-    rows = rows.select("bucket", "i", "j", "node", "stored", "salt", "copies", "probe", "embedding")
+    as_stored = met.where("probe = 0").select("bucket", "node", F.lit(True).alias("stored"), F.pmod(place, "rows").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"))
+    as_probing = met.select("bucket", "node", F.lit(False).alias("stored"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(place, "cols").cast("int").alias("j"))
+    rows = as_stored.unionByName(as_probing).join(classes.select("node", "copies", "keys", "embedding"), "node")
+    rows = rows.select("bucket", "i", "j", "node", "stored", "copies", "keys", "embedding")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -202,11 +222,12 @@ def _links(classes: DataFrame, link: float) -> DataFrame:
                     held = []
                 now = here
                 part = batch.slice(s, e - s)
-                held.append((part["node"].to_numpy(), part["stored"].to_numpy(zero_copy_only=False), part["salt"].to_numpy().view(np.uint64), part["copies"].to_numpy(), part["probe"].to_numpy(), _matrix(part["embedding"])))
+                held.append((part["node"].to_numpy(), part["stored"].to_numpy(zero_copy_only=False), part["copies"].to_numpy(), _unpacked(part["keys"]), _matrix(part["embedding"])))
         if held:
             yield from done()
 
-    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "node long, other long, links long")
+    tasks = tasks_for(classes.sparkSession, classes.count(), 2048)
+    return rows.repartition(tasks, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "node long, other long, links long")
 
 
 def near_vectors(vectors: DataFrame, link: float = LINK) -> DataFrame:
@@ -216,26 +237,28 @@ def near_vectors(vectors: DataFrame, link: float = LINK) -> DataFrame:
     they have as many dimensions and their cosine is at least ``link``.  Vectors that are
     null, empty, zero or hold null or non-finite components link with nothing and are their
     own component.  Null ids never name a component unless all its ids are null, and aren't
-    kept; repeated rows count as vectors of their own; extra columns are ignored.
+    kept; repeated rows count as vectors of their own; extra columns are ignored.  A ``link``
+    below ``LINK`` is refused: the tables are so many as find pairs from there on.
     """
+    if link < LINK:
+        raise ValueError(f"link must be at least {LINK}")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     valid = F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
     salt = F.xxhash64("label", F.size("embedding"))
-    rows = rows.withColumn("node", F.when(F.coalesce(valid, F.lit(False)), F.xxhash64("label", "embedding"))).withColumn("salt", salt)
-    classes = written(
-        rows.where("node IS NOT NULL").groupBy("node").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("salt").alias("salt"), F.first("embedding").alias("embedding")),
-        "vectors",
-    )
+    # equal vectors of a label are one class, told by 128 bits
+    rows = rows.withColumn("key", F.when(F.coalesce(valid, F.lit(False)), F.xxhash64("label", "embedding"))).withColumns({"check": F.xxhash64(F.lit(7), "label", "embedding"), "salt": salt})
+    classes = rows.where("key IS NOT NULL").groupBy("key", "check").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("salt").alias("salt"), F.first("embedding").alias("embedding"))
+    classes = own_nodes(written(_with_keys(classes), "vectors"))
     found = written(_links(classes, link), "links")
     counts = found.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(found.where("other IS NOT NULL"), "node", "other").withColumnRenamed("component", "root")
-    ids = classes.select("node", "low", "copies").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = classes.select("node", "key", "check", "low", "copies").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lows = ids.groupBy("root").agg(F.min("low").alias("component_id"))
     named = ids.join(lows, "root").join(counts, "node", "left")
-    named = named.select("node", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = rows.select("vec_id", "node").join(named, "node", "left")
-    out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id")))
+    named = named.select("key", "check", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = rows.select("vec_id", "key", "check").join(named, ["key", "check"], "left")
+    out = out.withColumn("component_id", F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id")))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 

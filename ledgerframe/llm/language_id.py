@@ -146,22 +146,22 @@ def learn(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Filters:
     return Filters(languages, planes, filled**PROBES, coverage)
 
 
-def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``lang_pred`` and ``score`` of every whole text; one row per row of ``docs``.
 
     Only the text is used.  Null texts and texts without a letter are ``und`` with score 0,
     and so is every text if nothing could be learned; ties go to the first language by name.
-    With ``keep`` the source's columns stay (``lang_pred`` and ``score`` are replaced if
-    they exist); else the result has the id, ``held_out``, ``lang_pred`` and ``score``.
+    With ``keep`` the source's columns stay and the two are called ``names`` (columns that
+    have these names are replaced); else the result has the id, ``held_out``, ``lang_pred`` and ``score``.
     """
     if keep:
-        columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
-        source = docs.select(*columns)
+        columns = [c for c in docs.columns if c not in names]
+        source = docs.select(*[F.col(f"`{c}`") for c in columns])
     else:
         source, columns = docs.select(docs[id_col].alias("doc_id"), held_out(id_col).alias("held_out"), docs[text_col].alias(text_col)), ["doc_id", "held_out", text_col]
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(filters)
-    out = T.StructType([*source.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    out = T.StructType([*source.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     at = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +170,7 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
             for t in K.slices(batch.column(at)):
                 part = batch.slice(t.first, len(t))
                 lang, score = model.predict(t)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*columns, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*columns, *names])
 
     found = source.mapInArrow(run, out)
     return found if keep else found.drop(text_col)

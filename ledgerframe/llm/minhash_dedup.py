@@ -28,16 +28,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import components, table, written
+from .common import components, contents, own_nodes, table, tasks_for, written
 
 SHINGLE = 5
-BANDS, ROWS = 32, 5
-HASHES = BANDS * ROWS
+HASHES = 160
+#: A pair at the threshold shares no band with at most this probability.
+UNMET = 1e-5
 #: Signature entries compared before the next look at the posterior.
 STEP = 10
 #: Posterior probability of reaching the threshold below which a pair is pruned.
 MISS = 1e-5
-TILE = 512
+#: Members a side of a tile, and shingles that they have together, about.
+TILE, TILE_SHINGLES = 512, 1 << 21
 
 _rng = np.random.default_rng(2024)
 _MUL = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | K._U(1)).astype(np.uint32)
@@ -119,36 +121,48 @@ def _sig(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), HASHES)
 
 
-def _band_keys(sig: np.ndarray) -> np.ndarray:
-    keys = np.empty((len(sig), BANDS), np.uint64)
-    for b in range(BANDS):
+def banding(threshold: float) -> int:
+    """Signature entries a band: the most with which pairs at the threshold meet but for ``UNMET``."""
+    for rows in range(8, 0, -1):
+        if (1 - threshold**rows) ** (HASHES // rows) <= UNMET:
+            return rows
+    raise ValueError(f"{HASHES} hashes don't find pairs of similarity {threshold}")
+
+
+def _band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
+    bands = HASHES // rows
+    keys = np.empty((len(sig), bands), np.uint64)
+    for b in range(bands):
         h = np.full(len(sig), b + 1, np.uint64)
-        for r in range(ROWS):
-            h = K.mix(h ^ sig[:, b * ROWS + r].astype(np.uint64)) + K._U(r)
+        for r in range(rows):
+            h = K.mix(h ^ sig[:, b * rows + r].astype(np.uint64)) + K._U(r)
         keys[:, b] = h
     return keys
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, content, n_shingles, node (hash of the set, null if empty), sig.
+    """``docs`` (doc_id, text, ca, cb) with n_shingles, key and check (hashes of the set, null if empty) and sig for text.
 
-    A signature is null where the same task has given one for the node already.
+    A signature is null where the same task has given one for the set not long ago.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for t in K.slices(batch.column(2)):
+            for t in K.slices(batch.column(1)):
                 values, offsets = shingle_sets(t)
                 sums = [np.zeros(len(t), np.uint64), np.zeros(len(t), np.uint64)]
                 for s, salt in zip(sums, (1, 2)):
                     total = np.zeros(len(values) + 1, np.uint64)
                     np.cumsum(K.mix(values + K._U(salt)), out=total[1:])
                     s += total[offsets[1:]] - total[offsets[:-1]]
-                node = K.mix(sums[0] ^ K.mix(sums[1])).view(np.int64)
+                key = K.mix(sums[0] ^ K.mix(sums[1])).view(np.int64)
+                check = K.mix(sums[1] + K._U(3)).view(np.int64)
                 n = np.diff(offsets)
                 fresh = np.zeros(len(t), bool)
-                for i, v in enumerate(node.tolist()):
+                if len(seen) > 1 << 17:
+                    seen.clear()
+                for i, v in enumerate(zip(key.tolist(), check.tolist())):
                     if n[i] and v not in seen:
                         seen.add(v)
                         fresh[i] = True
@@ -156,24 +170,24 @@ def sketch(docs: DataFrame) -> DataFrame:
                 sig = signatures(values[np.repeat(fresh, n)], np.append(0, np.cumsum(lengths)))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(t.first, len(t)), batch.column(1).slice(t.first, len(t)), pa.array(n.astype(np.int64)), pa.array(node, mask=n == 0),
+                        *(batch.column(k).slice(t.first, len(t)) for k in (0, 2, 3)), pa.array(n.astype(np.int64)), pa.array(key, mask=n == 0), pa.array(check, mask=n == 0),
                         pa.array([s.tobytes() if f else None for s, f in zip(sig, fresh)], pa.binary()),
                     ],
-                    names=["doc_id", "content", "n_shingles", "node", "sig"],
+                    names=["doc_id", "ca", "cb", "n_shingles", "key", "check", "sig"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, content long, n_shingles long, node long, sig binary")
+    return docs.select("doc_id", "text", "ca", "cb").mapInArrow(run, "doc_id long, ca long, cb long, n_shingles long, key long, check long, sig binary")
 
 
-def _bands(classes: DataFrame) -> DataFrame:
+def _bands(classes: DataFrame, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = _band_keys(_sig(batch.column(1)))
-                node = np.repeat(batch.column(0).to_numpy(), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node)], names=["band", "node"])
+                keys = _band_keys(_sig(batch.column(1)), rows)
+                node, size = (np.repeat(batch.column(k).to_numpy(), keys.shape[1]) for k in (0, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node), pa.array(size)], names=["band", "node", "size"])
 
-    return classes.select("node", "sig").mapInArrow(run, "band long, node long")
+    return classes.select("node", "sig", "n_shingles").mapInArrow(run, "band long, node long, size long")
 
 
 def _pruned(pairs: DataFrame, classes: DataFrame, bounds: list[int]) -> DataFrame:
@@ -215,15 +229,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _cross_pairs(bands: DataFrame, classes: DataFrame, labels: DataFrame, bounds: list[int]) -> DataFrame:
+def _cross_pairs(bands: DataFrame, classes: DataFrame, labels: DataFrame, bounds: list[int], band_rows: int) -> DataFrame:
     """Surviving pairs of different components within a bucket, found tile by tile.
 
     One row per tile and class: the classes it is still to be compared with, packed (empty
     where it is only another's partner).
     """
-    placed = bands.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
-    rows = placed.join(mixed.select("band", F.ceil(F.col("n") / TILE).cast("int").alias("blocks")), "band")
+    placed = bands.join(labels, "node", "left").select("band", "node", "size", F.coalesce("component", "node").alias("component"))
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("size").alias("sizes"), F.min("component").alias("c0"), F.max("component").alias("c1")]
+    mixed = placed.groupBy("band").agg(*sums).where("c0 <> c1")
+    blocks = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("sizes") / TILE_SHINGLES)).cast("int")
+    rows = placed.join(mixed.select("band", blocks.alias("blocks")), "band")
     block = F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int")
     rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
@@ -234,7 +250,7 @@ def _cross_pairs(bands: DataFrame, classes: DataFrame, labels: DataFrame, bounds
         left = np.flatnonzero(block == i[0])
         right = left if i[0] == j[0] else np.flatnonzero(block == j[0])
         # a pair is compared where it first meets
-        keys = _band_keys(sig)
+        keys = _band_keys(sig, band_rows)
         me = int(np.flatnonzero(keys[0].view(np.int64) == band[0])[0])
         out_a, out_b = [], []
         for at in range(0, len(left), 64):
@@ -278,11 +294,14 @@ def _cross_pairs(bands: DataFrame, classes: DataFrame, labels: DataFrame, bounds
         if held:
             yield from done()
 
-    return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "tile long, node long, partners binary")
+    # a row costs comparisons, not bytes
+    tasks = tasks_for(classes.sparkSession, classes.count(), 4096)
+    return rows.repartition(tasks, "band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "tile long, node long, partners binary")
 
 
 def _verified_tiles(cross: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links among the pairs of each tile; pairs that the tile's own links connect already are skipped."""
+    tasks = tasks_for(texts.sparkSession, cross.count(), 2048)
     rows = cross.join(texts, "node").select("tile", "node", "partners", "text")
 
     def links(held: list[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
@@ -330,7 +349,7 @@ def _verified_tiles(cross: DataFrame, texts: DataFrame, percent: int) -> DataFra
         if held:
             yield from done()
 
-    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
+    return rows.repartition(tasks, "tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
 
 
 def _reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -349,43 +368,49 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     smallest id reachable (the own id for texts without words).  Nulls count as empty texts;
     null ids never name a component unless all its ids are null, and are never kept; a
     repeated row is kept wherever its id is; extra columns are ignored.  With ``by_row`` texts
-    under one id are told apart by a column ``content`` (xxhash64 of the text, nulls as empty):
-    of a component only the rows of the smallest id and content are kept.
+    under one id are told apart by columns ``content`` and ``content2`` (two xxhash64 of the
+    text, nulls as empty): of a component only the rows of the smallest id and content are
+    kept.  Bands follow from ``percent``; one so low that they would miss pairs is refused.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("content"), text.alias("text"))
-    bounds = posterior_bounds(percent / 100)
+    ca, cb = contents(text)
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), ca.alias("ca"), cb.alias("cb"), text.alias("text"))
+    bounds, band_rows = posterior_bounds(percent / 100), banding(percent / 100)
     sketched = written(sketch(rows), "sketch")
-    classes = sketched.where("node IS NOT NULL").groupBy("node").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("low"), F.first("sig", ignorenulls=True).alias("sig")
+    classes = sketched.where("key IS NOT NULL").groupBy("key", "check").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ca", "cb")).alias("low"), F.first("sig", ignorenulls=True).alias("sig"), F.first("n_shingles").alias("n_shingles")
     )
-    classes = written(classes.select("node", F.col("low.doc_id").alias("low"), F.col("low.content").alias("content"), "sig"), "classes")
-    bands = _bands(classes)
+    classes = own_nodes(written(classes.select("key", "check", F.col("low.doc_id").alias("low"), "low.ca", "low.cb", "sig", "n_shingles"), "classes"))
+    bands = _bands(classes, band_rows)
     first = bands.groupBy("band").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "b")
-    met = written(bands.join(first, "band").select("band", F.col("node").alias("a"), "b"), "bands")
+    met = written(bands.join(first, "band").select("band", F.col("node").alias("a"), "b", "size"), "bands")
     pairs = met.where("a <> b").select("a", "b").distinct()
     colliding = met.select(F.col("a").alias("node")).distinct()
     # whole texts of the classes that meet any other
-    wanted = colliding.join(classes.select("node", "low", "content"), "node")
-    texts = rows.join(wanted, (rows["content"] == wanted["content"]) & rows["doc_id"].eqNullSafe(wanted["low"])).select("node", "text")
-    texts = written(texts, "texts")
+    wanted = colliding.join(classes.select("node", "low", "ca", "cb"), "node")
+    # one row a node, however often its id and text are repeated: grouped by what the join is dealt by
+    by = ["ca", "cb", "least", "none"]
+    own = lambda c: {"least": F.coalesce(c, F.lit(0)), "none": F.col(c).isNull()}
+    texts = rows.withColumns(own("doc_id")).drop("doc_id").join(wanted.withColumns(own("low")).drop("low").hint("merge"), by)
+    texts = written(texts.groupBy(*by).agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text"), "texts")
     best = _pruned(pairs, classes, bounds).groupBy("a").agg(F.max(F.struct("equal", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     links = written(_verified(best, texts, percent), "links")
     labels = components(links, "a", "b")
-    cross = _cross_pairs(met.select("band", F.col("a").alias("node")), classes, labels, bounds)
+    cross = written(_cross_pairs(met.select("band", F.col("a").alias("node"), "size"), classes, labels, bounds, band_rows), "cross")
     links = written(links.union(_verified_tiles(cross, texts, percent)), "links")
     labels = components(links, "a", "b").withColumnRenamed("component", "root")
     # the smallest id of each component
-    ids = classes.select("node", "low", "content").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = [F.min(F.struct(F.col("low").isNull(), "low", "content"))["content"].alias("first")] if by_row else []
-    low = ids.groupBy("root").agg(F.min("low").alias("component_id"), *first)
-    named = ids.join(low, "root").select("node", "component_id", *(["first"] if by_row else []))
-    out = sketched.select("doc_id", "n_shingles", "node", *(["content"] if by_row else [])).join(named, "node", "left")
-    out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    ids = classes.select("node", "key", "check", "low", "ca", "cb").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lead = F.min(F.struct(F.col("low").isNull(), "low", "ca", "cb"))
+    low = ids.groupBy("root").agg(F.min("low").alias("component_id"), *([lead["ca"].alias("first_ca"), lead["cb"].alias("first_cb")] if by_row else []))
+    named = ids.join(low, "root").select("key", "check", *low.columns[1:])
+    out = sketched.select("doc_id", "n_shingles", "key", "check", "ca", "cb").join(named, ["key", "check"], "left")
+    out = out.withColumn("component_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     kept = F.col("doc_id") == F.col("component_id")
     if by_row:
-        kept = kept & (F.col("node").isNull() | (F.col("content") == F.col("first")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(kept, F.lit(False)).alias("kept"), *(["content"] if by_row else []))
+        kept = kept & (F.col("key").isNull() | ((F.col("ca") == F.col("first_ca")) & (F.col("cb") == F.col("first_cb"))))
+    columns = ["doc_id", "n_shingles", "component_id", F.coalesce(kept, F.lit(False)).alias("kept")]
+    return out.select(*columns, *([F.col("ca").alias("content"), F.col("cb").alias("content2")] if by_row else []))
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

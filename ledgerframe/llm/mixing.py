@@ -4,39 +4,55 @@ Targets.  Sources in code-point order weigh 5, 2, 1, repeating, and share all wo
 target exceeds ``MOST_PASSES`` times its source, and what is cut off is shared again by
 weight until none is above (water filling).
 
-Documents.  A source goes in as often as its target holds it whole; the rest of the target
-is filled in the order of a keyed hash.  The hash is a path of 16-way cells, so the cell in
-which the target falls is found from cell sums: no window and no group ever holds more than
-16 cells or about ``POOL`` documents.  In that last cell documents go in by hash until one
-doesn't fit; the rest of the room is filled with the largest documents that fit, and one
-more document goes in, or replaces another, if that comes nearer to the target.
-
-Shards.  Each source's target is an exact number of blocks.  A binary tree splits the block
+Blocks.  A keyed hash puts a source's documents in order; equal stretches of hashes, of about
+``BLOCK_WORDS`` words each, are its blocks.  A source goes in as often as its target holds it
+whole, with all blocks; of one more pass the first blocks go in, up to where the target falls.
+That place is found from sums of 16-way cells of the hash, level after level, so that no
+window and no group ever holds more than 16 cells or about ``POOL`` documents.  In the cell
+where the target falls documents go in by hash until one doesn't fit; the rest of the room is
+filled with the largest documents that fit, and one more document goes in, or replaces
+another, if that comes nearer to the target.
+
+Quotas.  The blocks that go in are an exact count for each source.  A binary tree splits the
 counts of all sources among the output shards: at every node the left child's counts are a
-multivariate hypergeometric draw, source after source, by inversion of a keyed uniform.
-Blocks are hash-permuted, and shards take disjoint stretches of them.  Within a shard
-documents are ordered by another keyed hash.
+multivariate hypergeometric draw, made by halving the list of sources again and again, each
+half's share drawn by inversion of a keyed uniform.
+
+Draws.  A keyed bijection (a swap-or-not shuffle) permutes each source's blocks; shards draw
+disjoint stretches of the permuted blocks, as long as their quotas.  A document is taken once
+for each of its blocks' draws.  Within a shard documents are ordered by another keyed hash.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import fresh, table, written
 
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
 SEED = 17
-#: Words in a block of the splitting tree.
+#: Words in a block, about.
 BLOCK_WORDS = 32_768
-TREE_DEPTH = 4
+#: By default the tree is as deep as gives shards of at most so many words ...
+SHARD_WORDS = 1 << 20
+#: ... but has no more than this many levels; larger shards are dealt out in pieces.
+TREE_DEPTH = 12
+#: Words that a task of the dealt mix gets, about.
+TASK_WORDS = 1 << 24
+#: Rounds of the swap-or-not shuffle.
+ROUNDS = 16
 #: A cell of so many documents is searched one by one.
 POOL = 512
-#: A per-source table of at most so many rows is broadcast; a larger one is shuffled.
-BROADCAST_SOURCES = 10_000
+#: A per-source table of at most so many values is broadcast; a larger one is shuffled.
+BROADCAST_VALUES = 1_000_000
 #: Levels of cells; the deepest has 16 ** CELLS of them a source.
 CELLS = 6
+#: Shards in a row of the two-step table of quotas.
+_ROW = 64
 
 _WHITE = " \\t\\n\\x0B\\f\\r"
 
@@ -53,10 +69,11 @@ def keyed(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def sized(docs: DataFrame, seed: int) -> DataFrame:
-    """The source's columns with size and hash of every document."""
+def sized(docs: DataFrame, seed: int, name: str = "_mix") -> DataFrame:
+    """``docs`` with a struct ``name`` of every document's source, size and hash."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"_size": n_words(F.col("text")), "_hash": keyed(seed, F.col("doc_id"), F.md5(text.cast("binary")))})
+    parts = F.struct(F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("_size"), keyed(seed, F.col("doc_id"), F.md5(text.cast("binary"))).alias("_hash"))
+    return docs.withColumn(name, parts)
 
 
 def _cell(level: int) -> Column:
@@ -172,82 +189,157 @@ def hypergeometric(total: str, marked: str, drawn: str, uniform: str) -> str:
         (b, k) -> named_struct('sum', b.sum + {p}, 'at', if(b.at < 0 and b.sum + {p} >= {uniform}, k, b.at), 'top', k), b -> if(b.at < 0, b.top, b.at))"""
 
 
-def split_tree(plan: DataFrame, seed: int, depth: int = TREE_DEPTH) -> DataFrame:
-    """source, shard, blocks: exact block quotas of every shard.
+def n_blocks(size: str) -> Column:
+    """Bits that name a block of a source: a power of two of blocks."""
+    return F.greatest(F.lit(0), F.least(F.lit(40), F.ceil(F.log2(F.greatest(F.col(size), F.lit(1)) / F.lit(float(BLOCK_WORDS)))))).cast("int")
+
+
+def block_counts(plan: DataFrame) -> DataFrame:
+    """``plan`` with bits (of a block's name) and blocks, the exact number that goes in."""
+    plan = plan.withColumn("bits", n_blocks("source_size"))
+    # the block of the last hash that the partial pass may hold
+    last = "shiftleft(1L, 60 - 4 * size(path)) * (aggregate(path, 0L, (a, d) -> a * 16 + d) + 1) - 1"
+    partial = F.when(F.col("path").isNotNull(), F.expr(f"shiftright({last}, 60 - bits)") + 1)
+    return plan.withColumn("blocks", (F.col("whole") * F.expr("shiftleft(1L, bits)") + F.coalesce(partial, F.lit(0))).cast("long"))
+
 
-    The root is one row with a count for each source (as many entries as there are sources);
-    a node's children get half of its blocks each, rounded down on the left.
+def split_tree(plan: DataFrame, seed: int, depth: int) -> DataFrame:
+    """source, shard, blocks: exact quotas of every shard; ``plan`` has source and blocks.
+
+    A node is a row with a count for each source; its children get half of its blocks each,
+    rounded down on the left.  Which, is drawn for the first half of the sources together,
+    then for each half's halves, and so on: as many draws as sources, on lists that double.
     """
-    quota = F.ceil(F.col("target") / BLOCK_WORDS).cast("long")
-    node = plan.agg(F.array_sort(F.collect_list(F.struct("source", quota.alias("q")))).alias("quotas")).select(F.lit(1).cast("long").alias("node"), "quotas")
-    uniform = f"(cast(conv(substring(md5(cast(concat_ws('|', '{seed}', 'tree', cast(node as string), coalesce(x.source, ''), if(x.source is null, '0', '1')) as binary)), 1, 13), 16, 10) as double) + 0.5D) / 4503599627370496D"
-    draw = hypergeometric("a.total", "x.q", "a.left", uniform)
-    for _ in range(depth):
-        node = node.withColumn("total", F.expr("aggregate(quotas, cast(0 as bigint), (a, x) -> a + x.q)"))
-        # source after source: the rest of the draw is left to the sources that follow
-        drawn = f"""aggregate(quotas, named_struct('total', total, 'left', total div 2, 'took', cast(array() as array<bigint>)),
-            (a, x) -> aggregate(array({draw}), a, (c, d) -> named_struct('total', c.total - x.q, 'left', c.left - d, 'took', concat(c.took, array(d))))).took"""
-        node = node.withColumn("took", F.expr(drawn))
-        left = F.expr("zip_with(quotas, took, (x, d) -> named_struct('source', x.source, 'q', d))")
-        right = F.expr("zip_with(quotas, took, (x, d) -> named_struct('source', x.source, 'q', x.q - d))")
-        node = node.select("node", F.explode(F.array(F.struct(F.lit(0).alias("side"), left.alias("quotas")), F.struct(F.lit(1).alias("side"), right.alias("quotas")))).alias("c"))
-        node = node.select((F.col("node") * 2 + F.col("c.side")).alias("node"), F.col("c.quotas").alias("quotas"))
-    leaf = node.select((F.col("node") - (1 << depth)).cast("int").alias("shard"), F.explode("quotas").alias("x"))
-    return leaf.select(F.col("x.source").alias("source"), "shard", F.col("x.q").alias("blocks"))
-
-
-def mix_plan(sizes: DataFrame, seed: int = SEED, depth: int = TREE_DEPTH, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """One row per source: what :func:`place` needs to decide on a document by itself."""
-    plan = written(passes(sizes, written(targets(sizes, weights), "targets")), "passes")
+    rows = plan.select("source", "blocks")
+    node = rows.agg(F.array_sort(F.collect_list(F.struct(F.col("source").isNull().alias("none"), "source", "blocks"))).alias("x"))
+    node = node.select(F.lit(1).cast("long").alias("node"), F.expr("transform(x, s -> s.source)").alias("sources"), F.expr("transform(x, s -> s.blocks)").alias("q"))
+    steps = max(0, (max(1, rows.count()) - 1).bit_length())
+    for level in range(depth):
+        if level % 4 == 3:
+            node = node.repartition("node")
+        # sums over groups of 2 ** k sources, the list padded with zeros
+        node = node.withColumn("q", F.expr(f"concat(q, array_repeat(0L, {1 << steps} - size(q)))")).withColumn("t0", F.col("q"))
+        for k in range(steps):
+            node = node.withColumn(f"t{k + 1}", F.expr(f"transform(sequence(0, {(1 << (steps - k - 1)) - 1}), i -> t{k}[2 * i] + t{k}[2 * i + 1])"))
+        node = node.withColumn("took", F.expr(f"array(t{steps}[0] div 2)"))
+        for k in range(steps - 1, -1, -1):
+            uniform = f"(cast(conv(substring(md5(cast(concat_ws('|', '{seed}', 'tree', cast(node as string), '{k}', cast(i as string)) as binary)), 1, 13), 16, 10) as double) + 0.5D) / 4503599627370496D"
+            draw = hypergeometric(f"t{k + 1}[i]", f"t{k}[2 * i]", "took[i]", uniform)
+            node = node.withColumn("took", F.expr(f"flatten(transform(sequence(0, {(1 << (steps - k - 1)) - 1}), i -> transform(array({draw}), d -> array(d, took[i] - d))[0]))"))
+        right = F.expr("zip_with(q, took, (a, d) -> a - d)")
+        sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("took").alias("q")), F.struct(F.lit(1).alias("side"), right.alias("q"))))
+        node = node.select("node", "sources", sides.alias("c")).select((F.col("node") * 2 + F.col("c.side")).alias("node"), "sources", F.col("c.q").alias("q"))
+    leaf = node.select((F.col("node") - (1 << depth)).cast("int").alias("shard"), F.posexplode("sources").alias("i", "source"), "q")
+    return leaf.select("source", "shard", F.expr("q[i]").alias("blocks"))
+
+
+def mix_plan(sizes: DataFrame, seed: int = SEED, depth: int | None = None, weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFrame, int]:
+    """One row per source, what :func:`place` needs to decide on a document by itself, and the tree's depth."""
+    plan = written(block_counts(passes(sizes, written(targets(sizes, weights), "targets"))), "passes")
+    if depth is None:
+        words = plan.agg(F.sum("target")).first()[0] or 0
+        depth = min(TREE_DEPTH, max(0, math.ceil(math.log2(max(1, words) / SHARD_WORDS))))
     quotas = split_tree(plan, seed, depth).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("shard", "blocks"))).alias("quotas"))
     quotas = quotas.withColumnRenamed("source", "s")
-    ends = F.expr("transform(sequence(1, size(quotas)), i -> aggregate(slice(quotas, 1, i), cast(0 as bigint), (a, x) -> a + x.blocks))")
-    out = plan.join(quotas, _same("source", "s"), "left").withColumn("ends", ends).drop("s", "quotas")
-    return written(out, "plan")
+    # running sums of the quotas, in rows of _ROW shards, and the last sum of every row
+    run = F.expr("aggregate(quotas, cast(array() as array<bigint>), (a, x) -> array_append(a, coalesce(try_element_at(a, -1), 0L) + x.blocks))")
+    out = plan.join(quotas, _same("source", "s"), "left").withColumn("run", run).withColumn("ends", F.expr(f"transform(sequence(0, (size(run) - 1) div {_ROW}), i -> slice(run, i * {_ROW} + 1, {_ROW}))"))
+    out = out.withColumn("tops", F.expr("transform(ends, e -> element_at(e, -1))")).drop("s", "quotas", "run")
+    return written(out, "plan"), depth
 
 
-def place(docs: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
-    """``docs`` (from :func:`sized`) with source_size, target, copies, taken and places.
+def permuted(block: Column, n: Column, source: Column, seed: int) -> Column:
+    """The place of ``block`` among ``n`` after a swap-or-not shuffle: a bijection of 0 .. n - 1 for any n."""
+
+    def swap(x: Column, i: Column) -> Column:
+        other = F.pmod(F.pmod(F.xxhash64(F.lit(seed), F.lit("key"), source, i), n) - x, n)
+        return F.when(F.pmod(F.xxhash64(F.lit(seed), F.lit("bit"), source, i, F.greatest(x, other)), F.lit(2)) == 0, x).otherwise(other)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), block, swap)
 
-    ``places`` has the shard and the place within it of each copy.
-    """
-    slim = plan.withColumnRenamed("source", "_source")
-    if plan.count() <= BROADCAST_SOURCES:
-        slim = F.broadcast(slim)
-    both = docs.join(slim, _same("source", "_source"), "left")
-    digits = F.array(*[_cell(k) for k in range(1, CELLS + 1)])
-    earlier = (F.size("path") > 0) & (F.slice(digits, F.lit(1), F.greatest(F.size("path"), F.lit(1))) < F.col("path"))
-    partial = F.coalesce(earlier | F.array_contains("picked", F.col("_hash")), F.lit(False))
-    both = both.withColumn("copies", F.col("whole") + partial.cast("int"))
-    block = F.col("ends")[F.size("ends") - 1]
-    copies = F.transform(
-        F.filter(F.sequence(F.lit(1), F.lit(MOST_PASSES + 1)), lambda k: k <= F.col("copies")),
-        lambda k: F.struct(
-            k.alias("copy"),
-            F.size(F.filter("ends", lambda e: e <= F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), "_hash", k), block))).alias("shard"),
-            F.xxhash64(F.lit(seed), F.lit("place"), "_hash", k).alias("place"),
-        ),
-    )
-    return both.withColumns({"taken": F.col("copies") * F.col("_size"), "places": copies}).drop("_source", "path", "picked", "whole", "ends")
 
+def place(docs: DataFrame, plan: DataFrame, seed: int = SEED, name: str = "_mix") -> DataFrame:
+    """``docs`` (from :func:`sized`) with ``name`` as struct of size, source_size, target, copies, taken and places.
 
-def mix_sources(docs: DataFrame, seed: int = SEED, depth: int = TREE_DEPTH, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    ``places`` has, for each draw, the copy's number, its block's place in the permuted blocks,
+    the shard and the place within it.
+    """
+    held = F.struct("source_size", "target", "whole", "path", "picked", "bits", "blocks", "ends", "tops").alias("p")
+    slim = plan.select(F.col("source").alias("s"), held)
+    values = plan.select(F.count(F.lit(1)), F.sum(F.size(F.flatten("ends")) + F.coalesce(F.size("picked"), F.lit(0)) + 16)).first()
+    if (values[1] or 0) <= BROADCAST_VALUES:
+        slim = F.broadcast(slim)
+    key, plan_key = fresh("s", docs.columns), fresh("p", docs.columns)
+    slim = slim.withColumnsRenamed({"s": key, "p": plan_key})
+    m, p = F.col(name), F.col(plan_key)
+    both = docs.join(slim, m["source"].eqNullSafe(F.col(key)), "left")
+    digits = F.array(*[F.shiftright(m["_hash"], 60 - 4 * k).bitwiseAND(F.lit(15)).cast("int") for k in range(1, CELLS + 1)])
+    depth = F.size(p["path"])
+    earlier = (depth > 0) & (F.slice(digits, F.lit(1), F.greatest(depth, F.lit(1))) < p["path"])
+    partial = F.coalesce(earlier | F.array_contains(p["picked"], m["_hash"]), F.lit(False))
+    copies = p["whole"] + partial.cast("int")
+    cell = F.call_function("shiftright", m["_hash"], F.lit(60) - p["bits"])
+
+    def draw(k: Column) -> Column:
+        block = (k.cast("long") - 1) * F.call_function("shiftleft", F.lit(1).cast("long"), p["bits"]) + cell
+        at = permuted(block, p["blocks"], m["source"], seed)
+        row = F.size(F.filter(p["tops"], lambda e: e <= at))
+        shard = row * _ROW + F.size(F.filter(F.get(p["ends"], row), lambda e: e <= at))
+        return F.struct(k.alias("copy"), at.alias("block"), shard.cast("int").alias("shard"), F.xxhash64(F.lit(seed), F.lit("place"), m["_hash"], k).alias("place"))
+
+    drawn = F.transform(F.filter(F.sequence(F.lit(1), F.lit(MOST_PASSES + 1)), lambda k: k <= copies), draw)
+    # a block beyond the last quota would have no shard
+    both = both.withColumn(key, F.filter(drawn, lambda d: d["shard"].isNotNull()))
+    taken = F.size(key)
+    return both.withColumn(name, F.struct(m["_size"].alias("size"), p["source_size"].alias("source_size"), p["target"].alias("target"), taken.alias("copies"), (taken * m["_size"]).alias("taken"), F.col(key).alias("places"))).drop(key, plan_key)
+
+
+ADDED = ("size", "source_size", "target", "copies", "taken", "places")
+
+
+def mix_sources(docs: DataFrame, seed: int = SEED, depth: int | None = None, weights: tuple[int, ...] = WEIGHTS, into: str | None = None) -> DataFrame:
     """Columns of ``docs`` with size, source_size, target, copies, taken and places.
 
     One row per row of ``docs``; every copy of a document is whole.  Null texts have size 0;
     a null source is a source of its own, after all others; rows equal in id and text are
-    taken alike.  The result depends on ids, texts, sources and ``seed`` only.  Columns of
-    ``docs`` that have the names of the added ones are replaced.
+    taken alike.  The result depends on ids, texts, sources and ``seed`` only; ``depth`` (by
+    default from the words and ``SHARD_WORDS``) only deals the draws out to 2 ** depth shards.
+    With ``into`` the added columns are fields of one struct of that name, and no column of
+    ``docs`` is touched; else columns of ``docs`` that have their names are replaced.
+    """
+    name = into or fresh("_mix", docs.columns)
+    out = written(sized(docs, seed, name), "sized")
+    sizes = out.select(f"`{name}`.*")
+    out = place(out, mix_plan(sizes, seed, depth, weights)[0], seed, name)
+    return out if into else out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED], f"`{name}`.*")
+
+
+def dealt(docs: DataFrame, seed: int = SEED, depth: int | None = None) -> DataFrame:
+    """A row for every draw of the mix, dealt out by shard and shuffled within it; columns of ``docs``.
+
+    A shard is one task, or several if it has more than about ``TASK_WORDS`` words: so many
+    tasks as the words ask for, and no fewer than ``spark.sql.shuffle.partitions``.
     """
-    added = ("size", "source_size", "target", "copies", "taken", "places")
-    mine = docs.select(*[c for c in docs.columns if c not in added])
-    sizes = written(sized(mine, seed).select("source", "_size", "_hash"), "sizes")
-    return place(sized(mine, seed), mix_plan(sizes, seed, depth, weights), seed).withColumnRenamed("_size", "size").drop("_hash")
+    spark = docs.sparkSession
+    name = fresh("_mix", docs.columns)
+    out = written(sized(docs, seed, name), "sized")
+    plan, depth = mix_plan(out.select(f"`{name}`.*"), seed, depth)
+    words = plan.agg(F.sum("target")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(words / TASK_WORDS))
+    pieces = max(1, math.ceil(tasks / (1 << depth)))
+    at = fresh("_at", [*docs.columns, name])
+    rows = place(out, plan, seed, name).withColumn(at, F.explode(F.col(name)["places"])).drop(name)
+    shard, order = F.col(at)["shard"], F.col(at)["place"]
+    rows = rows.repartition(max(tasks, 1 << depth), shard, F.pmod(order, F.lit(pieces))).sortWithinPartitions(shard, order)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+    name = "_mix"
+    # texts are read once: sizes and hashes are all that is written
+    sizes = written(sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), SEED, name).select("doc_id", name), "sized")
+    mixed = place(sizes, mix_plan(sizes.select(f"{name}.*"))[0])
+    return mixed.select("doc_id", *[F.col(name)[c].alias(c) for c in ("size", "source_size", "target", "taken")])
 
 
 ORACLE = r"""

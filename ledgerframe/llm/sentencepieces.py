@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import table
+from .common import fresh, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
@@ -310,9 +310,10 @@ def encode_pieces(docs: DataFrame, pieces: Pieces, dropout: float = DROPOUT, see
         raise ValueError("dropout must be at least 0 and below 1")
     columns = [c for c in docs.columns if c not in ("ids", "n_tokens")]
     key = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"))
-    source = docs.select(*columns, F.col(text_col).alias("_text"), key.alias("_key"))
+    extra = fresh("_text", columns), fresh("_key", columns)
+    source = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text_col).alias(extra[0]), key.alias(extra[1]))
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
-    out = T.StructType([*docs.select(*columns).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType())])
+    out = T.StructType([*source.schema.fields[: len(columns)], T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -342,9 +343,9 @@ def decode_pieces(tokens: DataFrame, pieces: Pieces, ids_col: str = "ids", to: s
     error.
     """
     columns = [c for c in tokens.columns if c != to]
-    source = tokens.select(*columns, F.col(ids_col).cast("array<int>").alias("_ids"))
+    source = tokens.select(*[F.col(f"`{c}`") for c in columns], F.col(ids_col).cast("array<int>").alias(fresh("_ids", columns)))
     shared = tokens.sparkSession.sparkContext.broadcast(pieces)
-    out = T.StructType([*tokens.select(*columns).schema.fields, T.StructField(to, T.StringType())])
+    out = T.StructType([*source.schema.fields[: len(columns)], T.StructField(to, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

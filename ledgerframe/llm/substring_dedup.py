@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import shared_dir, table, written
+from .common import contents, shared_dir, table, written
 
 WINDOW = 35
 GRAM = 12
@@ -571,7 +571,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     text = F.coalesce(docs[text_col], F.lit(""))
     rest = F.struct(*[docs[f"`{c}`"] for c in carry]) if carry else F.struct(F.lit(None).cast("boolean").alias("none"))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("ca"), F.xxhash64(F.lit(7), text).alias("cb"), rest.alias("rest"))
+    ca, cb = contents(text)
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), ca.alias("ca"), cb.alias("cb"), rest.alias("rest"))
     content = rows.groupBy("ca", "cb").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.first(F.octet_length("text")).alias("bytes"))
     content = written(content, "contents")
     size = content.agg(F.sum("bytes")).first()[0] or 0

@@ -69,14 +69,14 @@ _LINES = "(SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM
 
 CASES: dict[str, Case] = {
     "showcase": Case(
-        "SELECT c.c_mktsegment, c.c_name, COUNT(*) AS order_count, SUM(o.cents) AS total_sales, AVG(o.cents) AS average_order, MIN(o.cents) AS smallest_order, MAX(o.cents) AS largest_order "
-        "FROM customer c JOIN orders o ON c._key = o.o_custkey WHERE (c.c_mktsegment = :a OR c.c_mktsegment = :b) AND c.c_acctbal >= :bal AND o.o_totalprice >= :min "
-        "GROUP BY c.c_mktsegment, c.c_name ORDER BY total_sales DESC, average_order DESC, c.c_mktsegment, c.c_name LIMIT 20",
+        "SELECT o.o_orderpriority AS priority, c.c_mktsegment AS segment, SUM(o.cents) AS turnover, COUNT(*) AS n, MAX(o.cents) AS top, MIN(o.cents) AS bottom, AVG(o.cents) AS mean "
+        "FROM orders o JOIN customer c ON o.o_custkey = c._key WHERE o.o_orderstatus != :open AND (c.c_acctbal > :rich OR o.o_totalprice > :big) "
+        "GROUP BY o.o_orderpriority, c.c_mktsegment ORDER BY priority, turnover DESC, segment LIMIT 20",
         ("customer", "orders"),
-        f"SELECT c_mktsegment, c_name, count(*) AS order_count, CAST(sum(cents) AS BIGINT) AS total_sales, avg(cents) AS average_order, min(cents) AS smallest_order, max(cents) AS largest_order "
-        f"FROM customer JOIN {_ORDERS} o ON c_custkey = o_custkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal >= 0 AND o_totalprice >= 1000 "
-        "GROUP BY ALL ORDER BY total_sales DESC, average_order DESC, c_mktsegment, c_name LIMIT 20",
-        {"a": "BUILDING", "b": "MACHINERY", "bal": 0, "min": 1000},
+        f"SELECT o_orderpriority AS priority, c_mktsegment AS segment, CAST(sum(cents) AS BIGINT) AS turnover, count(*) AS n, max(cents) AS top, min(cents) AS bottom, avg(cents) AS mean "
+        f"FROM customer JOIN {_ORDERS} o ON c_custkey = o_custkey WHERE o_orderstatus <> 'O' AND (c_acctbal > 5000 OR o_totalprice > 200000) "
+        "GROUP BY ALL ORDER BY priority, turnover DESC, segment LIMIT 20",
+        {"open": "O", "rich": 5000, "big": 200000},
     ),
     "select_columns": Case("SELECT c_name, c.c_acctbal FROM customer c", ("customer",), "SELECT c_name, c_acctbal FROM customer"),
     "select_alias": Case("SELECT c.C_NAME AS who, C_MktSegment FROM customer AS c", ("customer",), 'SELECT c_name AS who, c_mktsegment AS "C_MktSegment" FROM customer'),

@@ -74,8 +74,8 @@ def test_mix_on_edges(spark):
 
 
 def test_splitting_tree_is_exact_and_hypergeometric(spark):
-    plan = spark.createDataFrame([("a", 400 * mixing.BLOCK_WORDS * 1.0), ("b", 100 * mixing.BLOCK_WORDS * 1.0), (None, 11 * mixing.BLOCK_WORDS * 1.0)], "source string, target double")
-    totals, firsts = defaultdict(Counter), []
+    plan = spark.createDataFrame([("a", 400), ("b", 100), (None, 11)], "source string, blocks long")
+    firsts = []
     for seed in range(60):
         rows = mixing.split_tree(plan, seed, 2).collect()
         per, shard = Counter(), Counter()
@@ -91,6 +91,51 @@ def test_splitting_tree_is_exact_and_hypergeometric(spark):
     assert abs(np.mean(firsts) - mean) < 5 * (var / 60) ** 0.5 and 0.4 < np.var(firsts) / var < 2.2
 
 
+def test_splitting_tree_of_many_sources(spark):
+    plan = spark.range(3000).selectExpr("CAST(id AS STRING) AS source", "id % 7 AS blocks")
+    per, shard = Counter(), Counter()
+    for r in mixing.split_tree(plan, 1, 5).collect():
+        per[r.source] += r.blocks
+        shard[r.shard] += r.blocks
+    assert all(per[str(i)] == i % 7 for i in range(3000)) and len(shard) == 32 and max(shard.values()) - min(shard.values()) <= 5
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
+def test_permuted_blocks(spark, n):
+    at = [r.at for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("s"), 3).alias("at")).collect()]
+    assert sorted(at) == list(range(n)) and (n < 64 or at != list(range(n)))
+
+
+def test_quotas_decide_which_blocks_a_shard_draws(spark, monkeypatch):
+    """A shard's draws are its stretch of each source's permuted blocks; the tree's depth changes shards, not what is taken."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 256)
+    docs = table(spark, SF2, "documents")
+    taken, shards = [], []
+    for depth in (0, 2, 5):
+        out = mixing.sized(docs, mixing.SEED)
+        plan, _ = mixing.mix_plan(out.select("_mix.*"), depth=depth)
+        quotas = defaultdict(dict)
+        for r in mixing.split_tree(plan, mixing.SEED, depth).collect():
+            quotas[r.source][r.shard] = r.blocks
+        total = {r.source: r.blocks for r in plan.collect()}
+        assert {s: sum(q.values()) for s, q in quotas.items()} == total and sum(total.values()) > 500
+        rows = mixing.mix_sources(docs, depth=depth, into="m").select("doc_id", "source", "m").collect()
+        blocks, words = defaultdict(set), Counter()
+        for r in rows:
+            assert r.m.taken == r.m.size * len(r.m.places)
+            for p in r.m.places:
+                low = sum(q for k, q in quotas[r.source].items() if k < p.shard)
+                assert low <= p.block < low + quotas[r.source][p.shard]
+                blocks[r.source].add(p.block)
+                words[p.shard] += r.m.size
+        assert all(len(b) <= total[s] for s, b in blocks.items()) and sum(map(len, blocks.values())) > 0.6 * sum(total.values())
+        mean = sum(words.values()) / (1 << depth)
+        assert len(words) == 1 << depth and all(0.3 * mean < w < 3 * mean for w in words.values())
+        taken.append({r.doc_id: r.m.taken for r in rows})
+        shards.append({r.doc_id: [p.shard for p in r.m.places] for r in rows})
+    assert taken[0] == taken[1] == taken[2] and shards[0] != shards[1] != shards[2]
+
+
 # 3: licences
 
 

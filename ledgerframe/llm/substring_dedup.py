@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,10 +48,12 @@ GRAM = 12
 #: Batches that a table without an index of its own is merged in.
 BATCHES = 3
 #: Entries that a task holds before it cuts a run.
-RUN_ENTRIES = 1 << 19
+RUN_ENTRIES = 1 << 18
 MOST_RUNS = 2
+#: Bytes of text that are copied at a time while windows are verified.
+PIECE_BYTES = 2 << 20
 #: Bytes of text whose fingerprints share a bucket, and whose words are cut by one task.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Buckets that a merging task gets at most (more tasks than ``shuffle.partitions`` then).
 TASK_BUCKETS = 16
 
@@ -209,7 +212,9 @@ def _unpacked(row: dict) -> Entries:
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
     now, held = None, []
     for batch in batches:
-        for row in batch.to_pylist():
+        # packed runs become Python objects one row at a time
+        for i in range(batch.num_rows):
+            row = {name: batch[name][i].as_py() for name in batch.schema.names}
             if row["bucket"] != now:
                 if held:
                     yield now, held
@@ -230,6 +235,17 @@ def _cut_finer(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.select(*RUN_COLUMNS).mapInArrow(run, RUN_SCHEMA)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """Batches cut at about ``PIECE_BYTES`` of text, so that what is made from one at a time stays small."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy()) // PIECE_BYTES
+        cuts = np.flatnonzero(np.diff(size)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            yield batch.slice(a, b - a)
+        # what the pieces left is of no use to the next batch or task
+        pa.default_memory_pool().release_unused()
+
+
 MERGED_SCHEMA = "kind int, a binary, b binary, p binary, " + RUN_SCHEMA
 _ANSWER, _ENTRY = 0, 1
 
@@ -314,7 +330,7 @@ def verify(joined: DataFrame, window: int, gram: int, buckets: int, with_text: b
         def as_step(rows: pa.RecordBatch) -> pa.RecordBatch:
             return step(rows.num_rows, kind=pa.array([_RUN] * rows.num_rows), bucket=rows["bucket"], sure=rows["sure"], **{f"run_{n}": rows[n] for n in _NAMES})
 
-        for batch in batches:
+        for batch in _pieces(batches, "text"):
             rest_kind = batch["rest"].type
             if not batch.num_rows:
                 continue
@@ -412,8 +428,10 @@ def _cut_words(texts: DataFrame, answers: DataFrame, window: int, parts: int, wi
         now, held, found = None, [], None
         for batch in batches:
             rows, made = [], []
-            values = [batch[n].to_pylist() for n in columns if n != "rest"]
-            for i, (part, is_text, doc_id, ca, cb, text, a, b, p) in enumerate(zip(*values)):
+            # texts and packed answers become Python objects one row at a time
+            large = [batch[n] for n in ("text", "a", "b", "p")]
+            for i, (part, is_text, doc_id, ca, cb) in enumerate(zip(*(batch[n].to_pylist() for n in columns[:5]))):
+                text, a, b, p = (c[i].as_py() for c in large)
                 if part != now:
                     now, held, found = part, [], None
                 if not is_text:

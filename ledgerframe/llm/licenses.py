@@ -5,10 +5,11 @@ streamed through it: each token extends the current match or falls back along su
 which gives, at every position, the longest stretch of some template that ends there
 (matching statistics).  Maximal matches of at least ``MIN_MATCH`` tokens are chained per
 template in increasing order of text and template, and a template whose chained matches
-cover at least ``MIN_COVER`` of it gives its label and a span.
+cover at least ``MIN_COVER`` of it gives its label and a span, if the parts that decide on the
+label (name, version, terms) are each found whole.
 
-Tokens outside the templates' vocabulary reset the automaton, so only stretches of
-in-vocabulary tokens are streamed; those are found with numpy.
+A match of ``MIN_MATCH`` tokens consists of template grams, so only stretches of such grams,
+found with numpy, are streamed through the automaton.
 """
 
 from __future__ import annotations
@@ -29,26 +30,62 @@ MAX_GAP = 12
 
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Labels follow SPDX in lower case where one fits.
+#: Labels follow SPDX in lower case where one fits.  What stands in square brackets decides on
+#: the label (name, version, terms) and must be found whole, in one piece.
 TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("mit", "released under the mit license"),
-    ("mit", "licensed under the mit license"),
+    ("mit", "released under the [mit license]"),
+    ("mit", "licensed under the [mit license]"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"),
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("gpl-3.0", "licensed under the gnu general public license version 3"),
-    ("gpl-2.0", "licensed under the gnu general public license version 2"),
-    ("gpl-3.0-or-later", "under the terms of the gnu general public license either version 3 or any later version"),
-    ("lgpl", "licensed under the gnu lesser general public license"),
-    ("agpl-3.0", "licensed under the gnu affero general public license version 3"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
-    ("cc-by-nc-sa-4.0", "licensed under cc by nc sa 4 0"),
-    ("cc-by-4.0", "licensed under cc by 4 0"),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0"),
-    ("cc-by", "licensed under a creative commons attribution license"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    ),
+    ("apache-2.0", "licensed under the [apache license version 2 0]"),
+    (
+        "apache-2.0",
+        "licensed under the [apache license version 2 0] the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+    ),
+    ("gpl-3.0", "licensed under the [gnu general public license version 3]"),
+    ("gpl-2.0", "licensed under the [gnu general public license version 2]"),
+    ("gpl-2.0", "you can redistribute it and or modify it under the terms of the [gnu general public license version 2 as published by the free software foundation]"),
+    ("gpl-3.0-or-later", "under the terms of the [gnu general public license either version 3 or any later version]"),
+    *(
+        (label, f"this {work} is free software you can redistribute it and or modify it under the terms of the [gnu {name} license as published by the free software foundation either version {version} of the license] or at your option any later version")
+        for label, work, name, version in (
+            ("gpl-2.0-or-later", "program", "general public", "2"), ("gpl-3.0-or-later", "program", "general public", "3"), ("agpl-3.0-or-later", "program", "affero general public", "3"),
+            ("lgpl-2.1-or-later", "library", "lesser general public", "2 1"), ("lgpl-3.0-or-later", "library", "lesser general public", "3"),
+        )
+    ),
+    ("lgpl", "licensed under the [gnu lesser general public license]"),
+    ("agpl-3.0", "licensed under the [gnu affero general public license version 3]"),
+    ("cc-by-nc-4.0", "licensed under [cc by nc 4 0]"),
+    ("cc-by-nc-sa-4.0", "licensed under [cc by nc sa 4 0]"),
+    ("cc-by-4.0", "licensed under [cc by 4 0]"),
+    ("cc-by-sa-4.0", "licensed under [cc by sa 4 0]"),
+    ("cc-by", "licensed under a [creative commons attribution license]"),
+    *(
+        (f"cc-by{short}-4.0", f"[creative commons attribution{terms} 4 0 international] license")
+        for short, terms in (("", ""), ("-sa", " sharealike"), ("-nd", " noderivatives"), ("-nc", " noncommercial"), ("-nc-sa", " noncommercial sharealike"), ("-nc-nd", " noncommercial noderivatives"))
+    ),
     ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related rights"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    (
+        "bsd-3-clause",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "neither the name of the copyright holder nor the names of its contributors [may be used to endorse or promote products derived from this software without specific prior written permission]",
+    ),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any [person or organization obtaining a copy of the software and accompanying documentation covered by this license] the software to use reproduce display distribute execute and transmit the software"),
+    ("mpl-2.0", "subject to the terms of the [mozilla public license v 2 0]"),
+    ("epl-2.0", "made available under the terms of the [eclipse public license 2 0]"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 
@@ -120,13 +157,25 @@ class SuffixAutomaton:
             yield length, state
 
 
+def _parsed(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """Tokens of a template and the bounds of its parts in square brackets."""
+    tokens, needed, begin = [], [], 0
+    for word in text.split():
+        if word.startswith("["):
+            begin = len(tokens)
+        tokens.append(word.strip("[]"))
+        if word.endswith("]"):
+            needed.append((begin, len(tokens)))
+    return tokens, needed
+
+
 class Scanner:
     """Templates as an automaton, with base phrases; picklable and built once per task."""
 
     def __init__(self, templates=TEMPLATES, base=BASE, min_match=MIN_MATCH, min_cover=MIN_COVER, max_gap=MAX_GAP):
         self.labels = [label for label, _ in templates]
         self.min_match, self.min_cover, self.max_gap = min_match, min_cover, max_gap
-        token_lists = [text.split() for _, text in templates]
+        token_lists, self.needed = zip(*(_parsed(text) for _, text in templates))
         phrases = [(phrase.split(), label) for phrase, label in base]
         vocabulary = sorted({w for ts in token_lists for w in ts} | {w for ts, _ in phrases for w in ts})
         raw = np.frombuffer(" ".join(vocabulary).encode(), np.uint8)
@@ -140,7 +189,12 @@ class Scanner:
         number = {w: i for i, w in enumerate(vocabulary)}
         self.sizes = [len(ts) for ts in token_lists]
         self.phrases = [([number[w] for w in ts], label) for ts, label in phrases]
-        self.automaton = SuffixAutomaton([[number[w] for w in ts] for ts in token_lists])
+        sequences = [[number[w] for w in ts] for ts in token_lists]
+        self.automaton = SuffixAutomaton(sequences)
+        # grams of template tokens as numbers in base len(vocabulary); no longer than fit in 62 bits
+        self.base = max(2, len(vocabulary))
+        self.gram = max(1, min(min_match, int(62 / np.log2(self.base))))
+        self.codes = np.unique(np.concatenate([self._codes(np.array(q, np.int64), np.arange(max(0, len(q) - self.gram + 1))) for q in sequences]))
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Vocabulary numbers of word hashes, -1 for other words."""
@@ -152,6 +206,29 @@ class Scanner:
         out[at[hit]] = self.ids[k[hit]]
         return out
 
+    def _codes(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The gram at each place as one number."""
+        out = np.zeros(len(at), np.int64)
+        for j in range(self.gram):
+            out = out * self.base + ids[at + j]
+        return out
+
+    def stretches(self, ids: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Where (first word, end) grams of templates follow each other: matches of ``min_match`` tokens lie nowhere else."""
+        m = len(ids) - self.gram + 1
+        if m <= 0:
+            return
+        known = np.arange(m) + self.gram <= last[:m]
+        for j in range(self.gram):
+            known &= ids[j : m + j] >= 0
+        at = np.flatnonzero(known)
+        codes = self._codes(ids, at)
+        k = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        at = at[self.codes[k] == codes]
+        if len(at):
+            cuts = np.flatnonzero(np.diff(at) > 1) + 1
+            yield from zip(at[np.append(0, cuts)].tolist(), (at[np.append(cuts - 1, len(at) - 1)] + self.gram).tolist())
+
     def spans(self, stretches: list[tuple[int, list[int]]]) -> list[tuple[str, int, int, float]]:
         """Covered template spans of one text from its stretches (first word, numbers)."""
         matches: dict[int, list[tuple[int, int, int]]] = {}
@@ -164,28 +241,32 @@ class Scanner:
                 before = now
         best: dict[tuple[str, int], tuple[str, int, int, float]] = {}
         for k, found in matches.items():
-            for start, end, covered in self._chains(found):
-                if covered >= self.min_cover * self.sizes[k]:
+            for start, end, covered, whole in self._chains(found, self.needed[k]):
+                if covered >= self.min_cover * self.sizes[k] and len(whole) == len(self.needed[k]):
                     span = (self.labels[k], start, end, min(1.0, covered / self.sizes[k]))
                     key = (self.labels[k], start)
                     if key not in best or best[key][2:] < span[2:]:
                         best[key] = span
         return sorted(best.values(), key=lambda s: (s[1], s[0]))
 
-    def _chains(self, found: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
-        """Chain matches (text start, template start, length) in order; overlaps count once."""
-        chain: tuple[int, int, int, int] | None = None  # start, end, end in the template, covered
+    def _chains(self, found: list[tuple[int, int, int]], needed: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, set[int]]]:
+        """Chain matches (text start, template start, length) in order; overlaps count once.
+
+        Of each chain: start, end, tokens covered, and which ``needed`` parts one match covers.
+        """
+        chain: tuple[int, int, int, int, set[int]] | None = None  # start, end, end in the template, covered, parts
         for at, place, n in sorted(found):
+            parts = {i for i, (a, b) in enumerate(needed) if place <= a and b <= place + n}
             if chain and at - chain[1] <= self.max_gap and at + n > chain[1] and place + n > chain[2]:
                 fresh = min(at + n - max(at, chain[1]), place + n - max(place, chain[2]))
                 if fresh > 0 and at >= chain[0]:
-                    chain = (chain[0], at + n, place + n, chain[3] + fresh)
+                    chain = (chain[0], at + n, place + n, chain[3] + fresh, chain[4] | parts)
                     continue
             if chain:
-                yield chain[0], chain[1], chain[3]
-            chain = (at, at + n, place + n, n)
+                yield chain[0], chain[1], chain[3], chain[4]
+            chain = (at, at + n, place + n, n, parts)
         if chain:
-            yield chain[0], chain[1], chain[3]
+            yield chain[0], chain[1], chain[3], chain[4]
 
     def scan(self, t: K.Texts) -> list[tuple]:
         data = K.LOWER[t.data]
@@ -205,15 +286,8 @@ class Scanner:
             at = at[at + m <= last[at]]
             for a, d in zip(at.tolist(), (np.searchsorted(firsts, at, "right") - 1).tolist()):
                 base.setdefault(d, []).append((a - int(firsts[d]), label))
-        known = np.concatenate([[False], ids >= 0, [False]])
-        edge = np.zeros(n + 1, bool)
-        edge[firsts] = True
-        runs = np.flatnonzero(known[1:] & (~known[:-1] | edge))[:]
-        runs = runs[runs < n]
-        stops = np.flatnonzero(known[1:-1] & (~known[2:] | edge[1:])) + 1
-        long = stops - runs >= self.min_match
         stretches: dict[int, list[tuple[int, list[int]]]] = {}
-        for a, b in zip(runs[long].tolist(), stops[long].tolist()):
+        for a, b in self.stretches(ids, last):
             d = int(np.searchsorted(firsts, a, "right")) - 1
             stretches.setdefault(d, []).append((a - int(firsts[d]), ids[a:b].tolist()))
         out = []

@@ -198,14 +198,16 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", for
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Forest:
     """Fit the trees on at most ``fit_rows`` labelled rows (those with the smallest id hashes).
 
-    Rows with a null id or quality are not used.  The sample is broadcast and collected:
-    its size is bounded by ``fit_rows``.
+    Rows with a null id or quality are not used; of several texts under one id the one with
+    the smallest hash is.  The sample is broadcast and collected: its size is bounded by
+    ``fit_rows``.
     """
     some = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(fit_rows)
     ids = docs.select("doc_id", "text").join(F.broadcast(some.select("doc_id").distinct()), "doc_id", "left_semi")
+    ids = ids.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = {r.doc_id: r.quality for r in some.collect()}
-    found = measure(ids).limit(2 * fit_rows).select("doc_id", "features").toPandas().sort_values("doc_id")
+    found = measure(ids).select("doc_id", "features").toPandas().sort_values("doc_id")
     x = np.array(found["features"].tolist(), float).reshape(len(found), len(FEATURES))
     return fit(x, np.array([rows[i] for i in found["doc_id"]], float))
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Columns of documents, and some whose names clash with what operators add or use inside.
-CLASHING = ["size", "target", "taken", "copies", "places", "node", "content", "kept", "component_id", "score", "lang_pred", "held_out", "ids", "n_tokens", "n_words", "rest", "features", "label"]
+CLASHING = ["size", "target", "taken", "copies", "places", "node", "content", "kept", "component_id", "score", "lang_pred", "held_out", "ids", "n_tokens", "n_words", "rest", "features", "label", "path", "whole", "ends", "picked", "_hash", "_size", "_source", "_id", "_content", "_content0", "_text", "_key", "_mix", "_at", "source_size", "bits", "blocks", "ca", "cb", "old", "bucket"]
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())]
     + [T.StructField(c, T.StringType()) for c in CLASHING]

@@ -26,7 +26,8 @@ def test_scratch_tables_live_as_long_as_plans_do(spark):
 
     assert after_collection() and derived.count() == 6
     del derived
-    assert not after_collection()
+    # Python's references are given up by a thread of their own, so the JVM may see it late
+    assert any(not after_collection() for _ in range(30))
 
 
 def test_components_of_random_graphs_paths_and_stars(spark):

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline as P
@@ -43,7 +44,7 @@ def test_near_copies_stage(spark, documents, edges):
     nodes = {(r[0] is not None, r[0] or 0, "" if r[0] is not None else r[1] or ""): shingles(r[1]) for r in rows}
     order = sorted(nodes)
     sets = [nodes[n] for n in order]
-    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     low = smallest_reachable(range(len(sets)), links)
     want = Counter(n[1] if n[0] else None for i, n in enumerate(order) if low[i] == i)
     got = P.near_copies(spark, docs, SF)
@@ -90,6 +91,18 @@ def test_mix_and_pieces_stages(spark, documents, edges):
     assert out.columns == [*[c for c in docs.columns if c not in ("ids", "n_tokens")], "ids", "n_tokens"] and back.where("NOT (back <=> text)").count() == 0
 
 
+def test_stages_keep_every_column(spark):
+    """Columns with any name and type pass through; stages change texts, their lengths and languages only."""
+    docs = edge_docs(spark).withColumns({"at": F.lit("2024-01-02 03:04:05.123456").cast("timestamp"), "by": F.create_map(F.lit(1), F.col("source"))})
+    others = [c for c in docs.columns if c not in ("text", "lang", "n_chars")]
+    held = {repr(r) for r in docs.select(*others).collect()}
+    for _, stage in P.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns and got.schema["at"] == docs.schema["at"]
+        found = {repr(r) for r in got.select(*others).collect()}
+        assert found and found <= held
+
+
 def test_stages_on_no_rows(spark):
     for _, stage in P.STAGES:
         assert stage(spark, empty_docs(spark), SF).collect() == []

@@ -245,17 +245,27 @@ def mix_plan(sizes: DataFrame, seed: int = SEED, depth: int | None = None, weigh
     run = F.expr("aggregate(quotas, cast(array() as array<bigint>), (a, x) -> array_append(a, coalesce(try_element_at(a, -1), 0L) + x.blocks))")
     out = plan.join(quotas, _same("source", "s"), "left").withColumn("run", run).withColumn("ends", F.expr(f"transform(sequence(0, (size(run) - 1) div {_ROW}), i -> slice(run, i * {_ROW} + 1, {_ROW}))"))
     out = out.withColumn("tops", F.expr("transform(ends, e -> element_at(e, -1))")).drop("s", "quotas", "run")
-    return written(out, "plan"), depth
+    return written(out.withColumn("keys", round_keys(F.col("blocks"), F.col("source"), seed)), "plan"), depth
 
 
-def permuted(block: Column, n: Column, source: Column, seed: int) -> Column:
+def round_keys(n: Column, source: Column, seed: int) -> Column:
+    """Of every round of a source's shuffle the key that pairs places below ``n`` and the key of the coins."""
+
+    def key(i: Column) -> Column:
+        pairs = F.pmod(F.xxhash64(F.lit(seed), F.lit("key"), source, i), F.greatest(n, F.lit(1).cast("long")))
+        return F.struct(pairs.alias("pairs"), F.xxhash64(F.lit(seed), F.lit("bit"), source, i).alias("coins"))
+
+    return F.transform(F.sequence(F.lit(1), F.lit(ROUNDS)), key)
+
+
+def permuted(block: Column, n: Column, keys: Column) -> Column:
     """The place of ``block`` among ``n`` after a swap-or-not shuffle: a bijection of 0 .. n - 1 for any n."""
 
-    def swap(x: Column, i: Column) -> Column:
-        other = F.pmod(F.pmod(F.xxhash64(F.lit(seed), F.lit("key"), source, i), n) - x, n)
-        return F.when(F.pmod(F.xxhash64(F.lit(seed), F.lit("bit"), source, i, F.greatest(x, other)), F.lit(2)) == 0, x).otherwise(other)
+    def swap(x: Column, key: Column) -> Column:
+        other = F.pmod(key["pairs"] - x, n)
+        return F.when(F.xxhash64(key["coins"], F.greatest(x, other)).bitwiseAND(F.lit(1).cast("long")) == 0, x).otherwise(other)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), block, swap)
+    return F.aggregate(keys, block, swap)
 
 
 def place(docs: DataFrame, plan: DataFrame, seed: int = SEED, name: str = "_mix") -> DataFrame:
@@ -264,9 +274,9 @@ def place(docs: DataFrame, plan: DataFrame, seed: int = SEED, name: str = "_mix"
     ``places`` has, for each draw, the copy's number, its block's place in the permuted blocks,
     the shard and the place within it.
     """
-    held = F.struct("source_size", "target", "whole", "path", "picked", "bits", "blocks", "ends", "tops").alias("p")
+    held = F.struct("source_size", "target", "whole", "path", "picked", "bits", "blocks", "ends", "tops", "keys").alias("p")
     slim = plan.select(F.col("source").alias("s"), held)
-    values = plan.select(F.count(F.lit(1)), F.sum(F.size(F.flatten("ends")) + F.coalesce(F.size("picked"), F.lit(0)) + 16)).first()
+    values = plan.select(F.count(F.lit(1)), F.sum(F.size(F.flatten("ends")) + F.coalesce(F.size("picked"), F.lit(0)) + 16 + 2 * ROUNDS)).first()
     if (values[1] or 0) <= BROADCAST_VALUES:
         slim = F.broadcast(slim)
     key, plan_key = fresh("s", docs.columns), fresh("p", docs.columns)
@@ -280,14 +290,22 @@ def place(docs: DataFrame, plan: DataFrame, seed: int = SEED, name: str = "_mix"
     copies = p["whole"] + partial.cast("int")
     cell = F.call_function("shiftright", m["_hash"], F.lit(60) - p["bits"])
 
-    def draw(k: Column) -> Column:
+    # step by step, since a lambda computes again, for every element, what it doesn't get as a value
+    def permute(k: Column) -> Column:
         block = (k.cast("long") - 1) * F.call_function("shiftleft", F.lit(1).cast("long"), p["bits"]) + cell
-        at = permuted(block, p["blocks"], m["source"], seed)
-        row = F.size(F.filter(p["tops"], lambda e: e <= at))
-        shard = row * _ROW + F.size(F.filter(F.get(p["ends"], row), lambda e: e <= at))
-        return F.struct(k.alias("copy"), at.alias("block"), shard.cast("int").alias("shard"), F.xxhash64(F.lit(seed), F.lit("place"), m["_hash"], k).alias("place"))
+        return F.struct(k.alias("copy"), permuted(block, p["blocks"], p["keys"]).alias("block"))
+
+    def find_row(d: Column) -> Column:
+        return F.struct(d["copy"].alias("copy"), d["block"].alias("block"), F.size(F.filter(p["tops"], lambda e: e <= d["block"])).alias("row"))
+
+    def find_shard(d: Column) -> Column:
+        shard = d["row"] * _ROW + F.size(F.filter(F.get(p["ends"], d["row"]), lambda e: e <= d["block"]))
+        place = F.xxhash64(F.lit(seed), F.lit("place"), m["_hash"], d["copy"])
+        return F.struct(d["copy"].alias("copy"), d["block"].alias("block"), shard.cast("int").alias("shard"), place.alias("place"))
 
-    drawn = F.transform(F.filter(F.sequence(F.lit(1), F.lit(MOST_PASSES + 1)), lambda k: k <= copies), draw)
+    drawn = F.filter(F.sequence(F.lit(1), F.lit(MOST_PASSES + 1)), lambda k: k <= copies)
+    for step in (permute, find_row, find_shard):
+        drawn = F.transform(drawn, step)
     # a block beyond the last quota would have no shard
     both = both.withColumn(key, F.filter(drawn, lambda d: d["shard"].isNotNull()))
     taken = F.size(key)

@@ -102,7 +102,7 @@ def test_splitting_tree_of_many_sources(spark):
 
 @pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
 def test_permuted_blocks(spark, n):
-    at = [r.at for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("s"), 3).alias("at")).collect()]
+    at = [r.at for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), mixing.round_keys(F.lit(n).cast("long"), F.lit("s"), 3)).alias("at")).collect()]
     assert sorted(at) == list(range(n)) and (n < 64 or at != list(range(n)))
 
 

@@ -21,9 +21,12 @@ from urllib.parse import parse_qsl, unquote, urlsplit
 
 from .engine import Engine
 from .functions.parameters import parse_parameter
-from .sources.jsonrows import as_json, rows_json
+from .sources.jsonrows import as_json, listed_json, rows_json
 from .store import RecordStore
 
+#: Characters of an answer that are put together before they are sent.
+CHUNK_CHARS = 1 << 16
+
 Authorizer = Callable[[BaseHTTPRequestHandler], bool]
 
 
@@ -38,6 +41,8 @@ def serve(engine: Engine | None, stores: Mapping[str, RecordStore] | None = None
     held = dict(stores or {})
 
     class Handler(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
         def log_message(self, *args: object) -> None:
             pass
 
@@ -49,9 +54,46 @@ def serve(engine: Engine | None, stores: Mapping[str, RecordStore] | None = None
             if body:
                 self.send_header("Content-Type", "application/json; charset=utf-8")
             self.send_header("Content-Length", str(len(body)))
+            self.send_header("Connection", "close")  # a request's body may not have been read
             self.end_headers()
             self.wfile.write(body)
 
+        def answer_rows(self, parts: Iterable[str]) -> None:
+            """Parts go out in chunks as they come; the first one is made before the status is sent.
+
+            A failure after that closes the connection without the last chunk, so that the
+            client sees that the answer isn't whole.
+            """
+            parts = iter(parts)
+            waiting, size = [next(parts, "")], 0
+            waiting.append(next(parts, ""))
+            chunked = self.request_version >= "HTTP/1.1"
+            self.send_response(200)
+            self.send_header("Content-Type", "application/json; charset=utf-8")
+            self.send_header("Connection", "close")
+            if chunked:
+                self.send_header("Transfer-Encoding", "chunked")
+            self.end_headers()
+
+            def send() -> None:
+                data = "".join(waiting).encode()
+                waiting.clear()
+                if data:
+                    self.wfile.write(b"%x\r\n%b\r\n" % (len(data), data) if chunked else data)
+
+            try:
+                for part in parts:
+                    waiting.append(part)
+                    size += len(part)
+                    if size >= CHUNK_CHARS:
+                        send()
+                        size = 0
+                send()
+                if chunked:
+                    self.wfile.write(b"0\r\n\r\n")
+            except Exception as e:  # noqa: BLE001  (the status is out: all that's left is to end early)
+                self.log_error("Answer broken off: %s", e)
+
         def error(self, status: int, message: str, headers: Mapping[str, str] | None = None) -> None:
             self.answer(status, [as_json({"error": message})], headers)
 
@@ -95,18 +137,17 @@ def serve(engine: Engine | None, stores: Mapping[str, RecordStore] | None = None
             if engine is None:
                 raise ValueError("No engine is configured")
             if what == "query":
-                self.answer(200, rows_json(engine.query(self.body(), parameters)))
+                self.answer_rows(rows_json(engine.query(self.body(), parameters)))
                 return
             if what == "stream":
-                rows = engine.stream(self.body(), parameters)
-                self.answer(200, ['{"rows":[', ",".join(map(as_json, rows)), "]}"])
+                self.answer_rows(listed_json(engine.stream(self.body(), parameters)))
                 return
             for name in ("table", "alias", "key")[: 2 + (what == "lookup")]:
                 if name not in parameters:
                     raise ValueError(f"Missing parameter: {name}")
             table, alias = str(parameters["table"]), str(parameters["alias"])
             if what == "scan":
-                self.answer(200, rows_json(engine.scan(table, alias)))
+                self.answer_rows(rows_json(engine.scan(table, alias)))
                 return
             row = engine.lookup(table, alias, parameters["key"])
             self.answer(200, [as_json({"rows": [] if row is None else [row]})])

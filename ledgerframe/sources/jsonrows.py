@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
 from pyspark.sql import DataFrame
 
@@ -24,14 +24,19 @@ def as_json(value: object) -> str:
     return json.dumps(_plain(value), ensure_ascii=False, separators=(",", ":"))
 
 
-def rows_json(df: DataFrame) -> Iterable[str]:
-    """``{"rows":[...]}`` in parts, a partition of rows at a time on the driver."""
+def listed_json(rows: Iterable[Mapping[str, object]]) -> Iterator[str]:
+    """``{"rows":[...]}`` in parts, one for each row."""
     yield '{"rows":['
-    for i, row in enumerate(df.toLocalIterator()):
-        yield ("," if i else "") + as_json(row.asDict(recursive=True))
+    for i, row in enumerate(rows):
+        yield ("," if i else "") + as_json(row)
     yield "]}"
 
 
+def rows_json(df: DataFrame) -> Iterator[str]:
+    """:func:`listed_json` of all rows, a partition of rows at a time on the driver."""
+    return listed_json(row.asDict(recursive=True) for row in df.toLocalIterator())
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """One JSON object a line, written by the executors; nulls are kept."""
     df.write.option("ignoreNullFields", "false").json(path)

@@ -1,7 +1,9 @@
 """The record store, its log, feeds, topology and the HTTP front."""
 
+import http.client
 import json
 import os
+import socket
 import threading
 import urllib.error
 import urllib.request
@@ -9,6 +11,7 @@ import urllib.request
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerframe import service
 from ledgerframe.engine import Engine
 from ledgerframe.functions.codecs import UTF8, json_codec
 from ledgerframe.functions.hashing import fnv1a
@@ -247,3 +250,38 @@ def test_http(store):
         assert content(store) == {"a": 1, "b c": 5}
     finally:
         server.shutdown()
+
+
+def test_http_rows_go_out_in_chunks(spark, monkeypatch):
+    """A long answer is never one text."""
+    monkeypatch.setattr(service, "CHUNK_CHARS", 100)
+    rows = spark.range(500)
+    server = serve(Engine(Catalog().add("t", rows)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        with socket.create_connection(server.server_address[:2]) as s:
+            s.sendall(b"GET /scan?table=t&alias=x HTTP/1.1\r\nHost: h\r\n\r\n")
+            head, _, body = b"".join(iter(lambda: s.recv(1 << 16), b"")).partition(b"\r\n\r\n")
+        assert b"Transfer-Encoding: chunked" in head and b"Content-Length" not in head
+        sizes = [int(line, 16) for line in body.split(b"\r\n")[0:-2:2]]
+        assert len(sizes) > 50 and max(sizes) < 200 and sizes[-1] == 0
+        assert call(server, "GET", "/scan?table=t&alias=x") == (200, {"rows": [{"x.id": i} for i in range(500)]})
+        assert call(server, "POST", "/stream", "SELECT id FROM t WHERE id < 0") == (200, {"rows": []})
+    finally:
+        server.shutdown()
+
+
+def test_http_answer_that_fails_late_is_not_whole(spark, monkeypatch):
+    def rows(df):
+        yield '{"rows":['
+        yield '{"a":1}'
+        raise RuntimeError("late")
+
+    monkeypatch.setattr(service, "rows_json", rows)
+    server = serve(Engine(Catalog().add("t", spark.range(1))))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        with pytest.raises(http.client.HTTPException):
+            call(server, "GET", "/scan?table=t&alias=x")
+    finally:
+        server.shutdown()

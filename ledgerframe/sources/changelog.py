@@ -108,7 +108,8 @@ class ChangeLog:
             return
         name = f"base/{now.seq:012d}-{uuid.uuid4().hex[:8]}"
         rows = self.current().withColumns({DELETED: F.lit(False), SEQ: F.lit(now.seq).cast("long")})
-        by = now.sort or (KEY,)
+        # the key comes last, so that rows with one hot value still spread over tasks and files
+        by = tuple(dict.fromkeys((*now.sort, KEY)))
         rows.repartitionByRange(*[F.col(f"`{c}`") for c in by]).sortWithinPartitions(*[F.col(f"`{c}`") for c in by]).write.parquet(f"{self.path}/{name}")
         self.publish(Version(now.number + 1, now.seq, name, (), now.tokens, now.sort))
 

@@ -25,6 +25,7 @@ for each of its blocks' draws.  Within a shard documents are ordered by another
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -134,14 +135,20 @@ def passes(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     rest = F.col("target") - F.col("whole") * F.col("source_size")
     plan = plan.withColumn("rest", F.when((F.col("whole") < MOST_PASSES) & (rest >= 0.5), rest).otherwise(0.0))
     here = plan.select("source", "rest", F.lit(0).cast("long").alias("before"), "docs", F.array().cast("array<int>").alias("path")).where("rest > 0")
-    done = here.where(F.col("docs") <= POOL)
+    # levels are written, a row a source: in one plan each would hold copies of all before it
+    here = written(here, "level")
+    small = [here.where(F.col("docs") <= POOL)]
     for level in range(1, CELLS + 1):
         open_ = here.where(F.col("docs") > POOL).withColumnRenamed("source", "s").drop("docs")
+        if open_.isEmpty():
+            break
         digits = F.array(*[_cell(k) for k in range(1, level)]).cast("array<int>")
         inside = sizes.join(open_, _same("source", "s") & (digits == F.col("path")))
         cells = inside.groupBy("source", "path", "rest", "before", _cell(level).alias("cell")).agg(F.sum("_size").alias("words"), F.count(F.lit(1)).alias("docs"))
         here = _boundary(cells, ["source", "path", "rest"]).select("source", "rest", "before", "docs", F.concat("path", F.array("cell")).alias("path"))
-        done = done.unionByName(here if level == CELLS else here.where(F.col("docs") <= POOL))
+        here = written(here, "level")
+        small.append(here if level == CELLS else here.where(F.col("docs") <= POOL))
+    done = functools.reduce(DataFrame.unionByName, small)
     last = done.select(F.col("source").alias("s"), "rest", "before", "path")
     digits = F.array(*[_cell(k) for k in range(1, CELLS + 1)])
     pool = sizes.join(last, _same("source", "s") & (F.slice(digits, F.lit(1), F.size("path")) == F.col("path")))

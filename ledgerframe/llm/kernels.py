@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 17
 
 _U = np.uint64
 #: Bytes that end a word when words are `[^\x20\x09-\x0D]+`.

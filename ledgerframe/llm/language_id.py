@@ -28,6 +28,8 @@ FIT_DOCS = 1_000
 RARE = 4e-5
 SLOT_BITS = 18
 PROBES = 2
+#: Places of a text whose n-grams are held at a time.
+BLOCK = 1 << 15
 UNKNOWN = "und"
 
 _SPACE = np.full(256, 32, np.uint8)
@@ -38,18 +40,23 @@ _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 
 
-def _grams(t: K.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Byte 4-grams and 3-grams of letters, word edges being spaces, and their texts' indices."""
-    n = len(t.data)
-    if n < 3:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    data = _SPACE[t.data].astype(np.uint32)
-    owner = np.repeat(np.arange(len(t)), np.diff(t.offsets))
-    three = (data[:-2] << 16) | (data[1:-1] << 8) | data[2:]
-    ok3 = (owner[:-2] == owner[2:]) & (data[1:-1] != 32) & ((data[:-2] != 32) | (data[2:] != 32))
-    four = (three[:-1] << 8) | data[3:]
-    ok4 = (owner[:-3] == owner[3:]) & (data[1:-2] != 32) & (data[2:-1] != 32)
-    return np.concatenate([three[ok3], four[ok4]]), np.concatenate([owner[:-2][ok3], owner[:-3][ok4]])
+def _grams(t: K.Texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Byte 4-grams and 3-grams of letters, word edges being spaces, and their texts' indices.
+
+    They come by ``BLOCK`` places where n-grams start, so that memory follows neither the
+    slice nor its longest document.
+    """
+    for a in range(0, len(t.data) - 2, BLOCK):
+        raw = t.data[a : a + BLOCK + 3]
+        first, end = np.searchsorted(t.offsets, [a, a + len(raw) - 1], "right") - [1, 0]
+        data = _SPACE[raw].astype(np.uint32)
+        owner = np.repeat(np.arange(first, end), np.diff(np.clip(t.offsets[first : end + 1], a, a + len(raw))))
+        three = (data[:-2] << 16) | (data[1:-1] << 8) | data[2:]
+        ok3 = (owner[:-2] == owner[2:]) & (data[1:-1] != 32) & ((data[:-2] != 32) | (data[2:] != 32))
+        ok3[BLOCK:] = False  # it starts in the next block
+        four = (three[:-1] << 8) | data[3:]
+        ok4 = (owner[:-3] == owner[3:]) & (data[1:-2] != 32) & (data[2:-1] != 32)
+        yield np.concatenate([three[ok3], four[ok4]]), np.concatenate([owner[:-2][ok3], owner[:-3][ok4]])
 
 
 def _slots(grams: np.ndarray) -> list[np.ndarray]:
@@ -76,17 +83,23 @@ class Filters:
 
     def hits(self, t: K.Texts) -> tuple[np.ndarray, np.ndarray]:
         """N-grams per text, and how many of them each language contains (texts x languages)."""
-        grams, owner = _grams(t)
-        slots = _slots(grams)
-        total = np.bincount(owner, minlength=len(t)).astype(float)
+        total = np.zeros(len(t))
         out = np.zeros((len(t), len(self.languages)))
-        for k, plane in enumerate(self.planes):
-            mask = plane[slots[0]]
-            for s in slots[1:]:
-                mask &= plane[s]
-            for j in range(64 * k, min(64 * k + 64, len(self.languages))):
-                bit = (mask >> K._U(j - 64 * k)) & K._U(1)
-                out[:, j] = np.bincount(owner, bit.astype(float), minlength=len(t))
+        for grams, owner in _grams(t):
+            if not len(grams):
+                continue
+            low = int(owner.min())
+            owner = owner - low
+            n = int(owner.max()) + 1
+            total[low : low + n] += np.bincount(owner, minlength=n)
+            slots = _slots(grams)
+            for k, plane in enumerate(self.planes):
+                mask = plane[slots[0]]
+                for s in slots[1:]:
+                    mask &= plane[s]
+                for j in range(64 * k, min(64 * k + 64, len(self.languages))):
+                    bit = (mask >> K._U(j - 64 * k)) & K._U(1)
+                    out[low : low + n, j] += np.bincount(owner, bit.astype(float), minlength=n)
         return total, out
 
     def predict(self, t: K.Texts) -> tuple[list[str], np.ndarray]:
@@ -123,12 +136,19 @@ def learn(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Filters:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = np.array(batch.column(0).to_pylist(), object)
+            codes = batch.column(0).dictionary_encode()
+            names, codes = codes.dictionary.to_pylist(), codes.indices.to_numpy()
             for t in K.slices(batch.column(1)):
-                grams, owner = _grams(t)
-                own = names[t.first : t.first + len(t)][owner] if len(grams) else np.zeros(0, object)
-                for lang in np.unique(own):
-                    g, n = np.unique(grams[own == lang], return_counts=True)
+                found = [[] for _ in names]
+                for grams, owner in _grams(t):
+                    own = codes[t.first + owner]
+                    for j in np.unique(own):
+                        found[j].append(np.unique(grams[own == j], return_counts=True))
+                for lang, parts in zip(names, found):
+                    if not parts:
+                        continue
+                    g, at = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+                    n = np.bincount(at, np.concatenate([x for _, x in parts]))
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
     counted = mine.where(place < share).select("lang", "text").mapInArrow(count, "lang string, gram long, n long")

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -481,6 +482,29 @@ def test_filter_has_every_learned_gram_and_few_others(spark):
     assert hits[0].max() <= total[0] and hits[0, filters.languages.index("en")] >= 0.8 * total[0]
 
 
+def test_ngrams_come_in_blocks(monkeypatch):
+    """Whatever the block, each text's n-grams are those of the whole text, and memory doesn't follow the text."""
+    texts = ["Straße of the and", "", None, "the", "no 1 x", "日本 and so on"] * 3
+    filters = language_id.Filters(["a", "b"], np.arange(1 << language_id.SLOT_BITS, dtype=np.uint64)[None], np.full(2, 0.1), np.full(2, 0.5))
+    (t,) = kernels.slices(pa.array(texts))
+    want, ratios = [], filters.hits(t)
+    for s in texts:
+        low = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in lower(s or "").encode())
+        three = sum(low[i + 1] != 32 and (low[i] != 32 or low[i + 2] != 32) for i in range(len(low) - 2))
+        want.append(three + sum(low[i + 1] != 32 != low[i + 2] for i in range(len(low) - 3)))
+    assert ratios[0].tolist() == want
+    for block in (1, 2, 3, 5, 16):
+        monkeypatch.setattr(language_id, "BLOCK", block, raising=False)
+        assert all((a == b).all() for a, b in zip(filters.hits(t), ratios))
+    monkeypatch.undo()
+    (t,) = kernels.slices(pa.array(["some words of a long document " * 100_000]))
+    tracemalloc.start()
+    total, _ = filters.hits(t)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total[0] > 4_000_000 and peak < 10e6
+
+
 # 10: chat
 
 

@@ -222,6 +222,9 @@ def split_tree(plan: DataFrame, seed: int, depth: int) -> DataFrame:
     node = node.select(F.lit(1).cast("long").alias("node"), F.expr("transform(x, s -> s.source)").alias("sources"), F.expr("transform(x, s -> s.blocks)").alias("q"))
     steps = max(0, (max(1, rows.count()) - 1).bit_length())
     for level in range(depth):
+        if level and level % 2 == 0:
+            # two levels a plan: the driver would hold the draws of all levels in one, and compile each anew
+            node = written(node, "tree")
         if level % 4 == 3:
             node = node.repartition("node")
         # sums over groups of 2 ** k sources, the list padded with zeros

@@ -92,6 +92,12 @@ def test_splitting_tree_is_exact_and_hypergeometric(spark):
     assert abs(np.mean(firsts) - mean) < 5 * (var / 60) ** 0.5 and 0.4 < np.var(firsts) / var < 2.2
 
 
+def test_splitting_tree_has_a_plan_of_two_levels(spark):
+    plan = spark.createDataFrame([("a", 900), ("b", 400), (None, 7)], "source string, blocks long")
+    sizes = [len(mixing.split_tree(plan, 17, depth)._jdf.queryExecution().optimizedPlan().toString()) for depth in (2, 8)]
+    assert sizes[1] < 1.5 * sizes[0]
+
+
 def test_splitting_tree_of_many_sources(spark):
     plan = spark.range(3000).selectExpr("CAST(id AS STRING) AS source", "id % 7 AS blocks")
     per, shard = Counter(), Counter()

@@ -30,11 +30,15 @@ def aggregate_of(function: str, value: Value | None) -> Column:
     return F.min(value.column) if function == "min" else F.max(value.column)
 
 
+def require_groupable(key: Value) -> None:
+    if isinstance(key.kind, T.MapType):
+        raise ValueError("Maps cannot be grouped")
+
+
 def grouped(df: DataFrame, keys: Sequence[Value], aggregates: Sequence[Column]) -> DataFrame:
     """One row per distinct key (NULLs are equal), or one row in all without keys."""
     for key in keys:
-        if isinstance(key.kind, T.MapType):
-            raise ValueError("Maps cannot be grouped")
+        require_groupable(key)
     columns = [key.column for key in keys]
     if not aggregates:
         return df.select(*columns).distinct()

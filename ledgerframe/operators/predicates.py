@@ -19,12 +19,13 @@ from ..functions.families import ORDERED, family
 
 @dataclass(frozen=True)
 class Value:
-    """A bound operand: its column, type, and whether it is a constant or never null."""
+    """A bound operand: its column, type, whether it is a constant or never null, and a column's inner name."""
 
     column: Column
     kind: T.DataType
     constant: bool = False
     required: bool = False
+    name: str | None = None
 
     @property
     def null(self) -> bool:

@@ -59,6 +59,14 @@ class Either:
 Condition = Union[Comparison, Both, Either]
 
 
+def refs(condition: Condition) -> list[Ref]:
+    """The columns of a condition."""
+    parts = [condition.left, condition.right]
+    if isinstance(condition, Comparison):
+        return [p for p in parts if isinstance(p, Ref)]
+    return [r for p in parts for r in refs(p)]
+
+
 @dataclass(frozen=True)
 class Star:
     label: str | None = None

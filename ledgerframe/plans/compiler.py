@@ -3,7 +3,7 @@
 The plan is declared - scan, filters, joins in text order, grouping or projection, order,
 limit - and everything else is left to Catalyst: pushdown, pruning, join order and strategy.
 Only a join that multiplies rows (no side's column is unique) is prepared here: the sides of
-a grouped statement are folded before it.
+a grouped statement are folded before it, and rows that still multiply are dealt out by blocks.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.families import require_ordered
 from ..operators.aggregates import aggregate_of, grouped, require_groupable
 from ..operators.folding import Folded, check, finished, fold, multiplied
-from ..operators.joins import inner_join
+from ..operators.joins import dealt_join, inner_join
 from ..operators.ordering import ordered_rows
 from ..operators.predicates import Value
 from ..sources.catalog import KEY, Catalog
@@ -96,11 +96,17 @@ def _multiplying(scope: Scope, joins: Joins) -> list[bool]:
 def _joined(scope: Scope, joins: Joins, where: Where) -> DataFrame:
     filters = _Filters(where)
     df, *others = [filters.take(s.frame) for s in scope.sources]
-    for other, (old, new) in zip(others, joins):
-        df = filters.take(inner_join(df, other, old, new))
+    ids = [_identity(s) for s in scope.sources]
+    for position, (other, (old, new), many) in enumerate(zip(others, joins, _multiplying(scope, joins)), 1):
+        df = filters.take(dealt_join(df, other, old, new, sum(ids[:position], []), ids[position]) if many else inner_join(df, other, old, new))
     return df
 
 
+def _identity(source: BoundSource) -> list[str]:
+    """Columns that tell a source's rows apart: the key, or else all that can be hashed."""
+    return [source.inner[KEY]] if source.table.has_key else [n for n, kind in source.frame.dtypes if "map<" not in kind]
+
+
 def _folded(scope: Scope, joins: Joins, where: Where, groups: Sequence[Value], aggregates: Sequence[tuple[str, Value | None]]) -> DataFrame:
     """The groups with the parts of their aggregates; sides are folded before a join that multiplies rows."""
     filters = _Filters(where)
@@ -112,7 +118,12 @@ def _folded(scope: Scope, joins: Joins, where: Where, groups: Sequence[Value], a
             continue
         needed = {v.name for v in groups} | {v.name for pair in joins[position - 1 :] for v in pair} | {n for names, _ in filters.waiting for n in names}
         left, right = (fold(s, [c for c in s.frame.columns if c in needed], aggregates, w) for s, w in ((out, "w0"), (other, f"w{position}")))
-        out = multiplied(inner_join(left.frame, right.frame, old, new), left, right, aggregates)
+        mine, theirs = ([c for c in side.frame.columns if c in needed] for side in (left, right))
+        if len(mine) == 1 or len(theirs) == 1:  # nothing but the join's column, which is unique then
+            joined = inner_join(left.frame, right.frame, old, new)
+        else:
+            joined = dealt_join(left.frame, right.frame, old, new, mine, theirs)
+        out = multiplied(joined, left, right, aggregates)
         out.frame = filters.take(out.frame)
     return fold(out, list(dict.fromkeys(v.name for v in groups)), aggregates, "w0").frame
 

@@ -74,3 +74,38 @@ def test_hot_null_key_is_counted_without_its_pairs(spark):
     nulls, loose = MANY * 99 // 100, MANY // 100
     of_nulls = sum(i % 3 for i in range(MANY) if i % 100)
     assert [tuple(r) for r in found] == [(nulls * nulls + loose, nulls * of_nulls + sum(i % 3 for i in range(0, MANY, 100)))]
+
+
+@pytest.mark.parametrize(
+    ("text", "sql"),
+    [
+        ("SELECT a._key AS x, b._key AS y FROM a JOIN b ON a.k = b.k", "SELECT a.id x, b.id y FROM a JOIN b ON a.k <=> b.k"),
+        ("SELECT a.n, b.h FROM a JOIN b ON b.f = a.f WHERE b.n < 30", "SELECT a.n, b.h FROM a JOIN b ON b.f <=> a.f WHERE b.n < 30"),
+        ("SELECT c.z, b.n FROM c JOIN b ON c.h = b.h WHERE c.z < b.n AND c.z > 1", "SELECT c.z, b.n FROM c JOIN b ON c.h <=> b.h WHERE c.z < b.n AND c.z > 1"),
+        ("SELECT x._key AS i, y._key AS j, c.z FROM a x JOIN a y ON x.g = y.g JOIN b ON b.k = x.k JOIN c ON c.h = b.h WHERE y.n < 90", "SELECT x.id i, y.id j, c.z FROM a x JOIN a y ON x.g <=> y.g JOIN b ON b.k <=> x.k JOIN c ON c.h <=> b.h WHERE y.n < 90"),
+        ("SELECT x.n AS p, a.g, b.n AS q FROM b x JOIN a ON x.k = a._key JOIN b ON b.k = a._key", "SELECT x.n p, a.g, b.n q FROM b x JOIN a ON x.k = a.id JOIN b ON b.k = a.id"),
+        ("SELECT a.n, b.h FROM a JOIN b ON a.f = b.h", "SELECT a.n, b.h FROM a JOIN b ON a.f IS NULL AND b.h IS NULL"),
+        ("SELECT a.n, b.n AS m FROM a JOIN b ON a.g = b.k", "SELECT a.n, b.n m FROM a JOIN b ON a.g IS NULL AND b.k IS NULL"),
+        ("SELECT a.g, b.h, COUNT(*) AS n, SUM(b.n) AS s FROM a JOIN b ON a.k = b.k WHERE a.n < b.f OR b.h = 'h1' GROUP BY a.g, b.h", "SELECT a.g, b.h, count(*) n, sum(bigint(b.n)) s FROM a JOIN b ON a.k <=> b.k WHERE a.n < b.f OR b.h = 'h1' GROUP BY a.g, b.h"),
+    ],
+)
+def test_dealt_joins_have_the_rows_of_sql(spark, many, monkeypatch, text, sql):
+    monkeypatch.setattr("ledgerframe.operators.joins.BLOCK_ROWS", 3, raising=False)
+    got, want = many.query(text), spark.sql(sql)
+    assert got.dtypes == want.dtypes and _rows(got) == _rows(want)
+
+
+def test_pairs_of_a_hot_key_are_spread_over_tasks(spark, monkeypatch):
+    """Without a broadcast one task made all 6 million rows before."""
+    monkeypatch.setattr("ledgerframe.operators.joins.BLOCK_ROWS", 64, raising=False)
+    rows = [spark.range(n).withColumn("k", (F.col("id") / 10_000).cast("int")) for n in (3000, 2000)]
+    e = Engine(Catalog().add("a", rows[0], "id").add("b", rows[1], "id"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = e.query("SELECT a._key AS x, b._key AS y FROM a JOIN b ON a.k = b.k")
+        made = [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count(F.col("x") + F.col("y")).alias("n")).collect()]
+        assert sum(made) == 6_000_000 and max(made) < 0.4 * sum(made)
+        assert df.agg(F.sum(F.col("x") * 2000 + F.col("y"))).collect()[0][0] == sum(range(6_000_000))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
